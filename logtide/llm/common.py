@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def _folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, as_table: bool = False) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
     The folder is the one the session names in spark.checkpoint.dir. Only where
-    none is named, as in tests, is a temporary one set.
+    none is named, as in tests, is a temporary one set. as_table writes Parquet,
+    which is smaller for texts. Shuffle files of what came before are let go.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    folder = _folder(df.sparkSession)
+    if as_table:
+        path = f"{folder}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = df.sparkSession.read.parquet(path)
+    else:
+        out = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def whole_text(name: str = "text") -> Column:

@@ -109,3 +109,19 @@ def redact(text: str | None, spans: str | None, mark: str = "[SECRET]") -> str |
             out += [text[at:start], mark]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame, vocabulary: str, pattern: str, max_ratio: float = MAX_CHARS_PER_TOKEN, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with the secrets in its texts replaced; other columns and rows stay as they are, null texts null."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoding(vocabulary, pattern).encode_ordinary
+        for batch in batches:
+            out = []
+            for text in batch.column(at).to_pylist():
+                base = base_spans(text or "")
+                out.append(redact(text, joined(base + random_spans(text or "", encode, base, max_ratio)), mark))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
