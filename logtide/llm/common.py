@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,14 +29,17 @@ def cut(df: DataFrame, as_table: bool = False) -> DataFrame:
     none is named, as in tests, is a temporary one set. as_table writes Parquet,
     which is smaller for texts. Shuffle files of what came before are let go.
     """
-    folder = _folder(df.sparkSession)
+    spark = df.sparkSession
+    folder = _folder(spark)
     if as_table:
         path = f"{folder}/table-{uuid.uuid4().hex}"
         df.write.parquet(path)
-        out = df.sparkSession.read.parquet(path)
+        out = spark.read.parquet(path)
     else:
         out = df.checkpoint()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    del df  # where the caller holds no other reference, its shuffle files can go now
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return out
 
 
