@@ -95,9 +95,10 @@ def _window(i: int, shorter: int, distance: int) -> range:
 
 
 def _keyed(lines: DataFrame, distance: int) -> DataFrame:
-    """(key, segment, shift, line_key): a line's own segments, with shift null, and what it probes.
+    """(key, segment, shift, line_key): a line's own segments, with shift null, and what else it probes.
 
-    The key hashes segment, length of the indexed line and substring.
+    The key hashes segment, length of the indexed line and substring. Against
+    lines of its own length a line also probes its own segments where they are.
     """
     length = F.char_length("line")
     found = []
@@ -111,7 +112,7 @@ def _keyed(lines: DataFrame, distance: int) -> DataFrame:
     for shorter in range(distance + 1):
         cuts = _segments(length - shorter, distance)
         for i, (start, size) in enumerate(cuts):
-            for shift in _window(i, shorter, distance):
+            for shift in (s for s in _window(i, shorter, distance) if shorter or s):
                 add(i, length - shorter, start + shift, size, shift)
     return lines.filter(length >= SHORT).select(F.explode(F.array(*found)).alias("k"), "line_key").select("k.*", "line_key")
 
@@ -149,8 +150,7 @@ def _links(distance: int):
             return n
 
         for a, line, own_a, i, shift in rows:
-            if shift is None:
-                continue
+            shift = shift or 0
             for b, other, own_b, _ in indexed:
                 longer = len(line) - len(other)
                 if a == b or not 0 <= longer <= distance or (not longer and a < b) or (min(own_a, own_b), max(own_a, own_b)) != (x, y):
@@ -188,8 +188,8 @@ def join_lines(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id"
     """line_id, doc_id, n_copies, n_links, class_id: one row for each distinct line; class_id is the least line_id reached."""
     lines = cut(distinct_lines(docs, id_col, text_col), as_table=True)
     keyed = _keyed(lines, distance)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("line_key").alias("least"), F.max("line_key").alias("most"))
-    shared = sizes.filter("least <> most").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    shared = sizes.filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.col("line_key"), F.col("blocks")).cast("int")
     met = cut(keyed.join(shared, "key").select("key", "segment", "shift", "line_key", "blocks", own.alias("own")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
