@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text
 
 #: Arcs, pairs and pieces that a worker remembers at most.
-REMEMBERED_ARCS, REMEMBERED_PAIRS, REMEMBERED_PIECES = 400_000, 300_000, 250_000
+REMEMBERED_ARCS, REMEMBERED_PAIRS, REMEMBERED_PIECES = 500_000, 500_000, 300_000
 ROOT = 0
 
 
@@ -42,11 +42,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The definition: join the neighbours of least rank, leftmost first, until none joins."""
     parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
-        if parts[best] + parts[best + 1] not in ranks:
-            break
-        parts[best : best + 2] = [parts[best] + parts[best + 1]]
+    never = 1 << 60
+    joins = [ranks.get(data[i : i + 2], never) for i in range(len(data) - 1)]
+    while joins and (best := min(joins)) != never:
+        at = joins.index(best)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del joins[at]
+        if at:
+            joins[at - 1] = ranks.get(parts[at - 1] + parts[at], never)
+        if at < len(joins):
+            joins[at] = ranks.get(parts[at] + parts[at + 1], never)
     return [ranks[p] for p in parts]
 
 
@@ -78,6 +83,8 @@ class MergeTransducer:
                 self._pairs.clear()
             if last < 0:
                 known = merge(self.tokens[token], self.ranks) == [token]
+            elif self.ranks.get(self.tokens[last] + self.tokens[token]) is not None and self._may_follow(-1, self.ranks[self.tokens[last] + self.tokens[token]]):
+                known = False  # the two merge into one
             else:
                 known = self._may_follow(-1, token) and merge(self.tokens[last] + self.tokens[token], self.ranks) == [last, token]
             self._pairs[pair] = known
@@ -173,18 +180,21 @@ class Codec:
         most = max(self.machine.tokens) + 1
         self._bytes = [self.machine.tokens.get(i, b"") for i in range(most)]
         self.names = [str(i) for i in range(most)]
-        self._known: dict[str, tuple[int, ...]] = {}
+        # Two generations: when the young one is full it becomes the old one, and what is used again moves back.
+        self._young: dict[str, tuple[int, ...]] = {}
+        self._old: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for at, end in self._stretches(text):
             pieces = self._split(text, at, end)
-            known = self._known
+            known, old = self._young, self._old
             for piece in set(pieces).difference(known):
-                known[piece] = tuple(self.machine.encode_piece(piece.encode()))
+                found = old.get(piece)
+                known[piece] = tuple(self.machine.encode_piece(piece.encode())) if found is None else found
             out += chain.from_iterable(map(known.__getitem__, pieces))
             if len(known) > REMEMBERED_PIECES:
-                self._known = {}
+                self._young, self._old = {}, known
         return out
 
     @staticmethod
