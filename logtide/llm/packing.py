@@ -12,6 +12,7 @@ repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -33,36 +34,55 @@ REMEMBERED = 300_000
 RANK_ROWS = 200_000
 
 
+#: Closing ASCII punctuation right after a letter and before a blank. No rule of the tokenizer joins it to the letter.
+CLOSING = re.compile(r"(?<=[a-zà-öø-ÿ])([,.!?;:%*#$&)]+)(?= )")
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
 class ChunkTokenizer:
     """Ids of whole texts from remembered ids of their chunks between blanks.
 
     The tokenizer's rules treat a blank as a boundary, so the ids of a text are
     those of its chunks in order. Only blanks that every white-space rule has
-    (space, line feed, tab) split here; the rest is left to the tokenizer.
+    (space, line feed, tab) split here; the rest is left to the tokenizer. It
+    lower-cases, so that A-Z are lowered before chunks are looked up, but in
+    texts where that could make a special token's string.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {"": b""}
+        # Two generations: when the young one is full it becomes the old one, and what is used again moves back.
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        known = self._known
-        new = list(set().union(*chunks) - known.keys())
-        if len(known) + len(new) > REMEMBERED:
-            known = {"": b""}
-            new = list(set().union(*chunks) - known.keys())
+        chunks = [self._chunks(text) for text in texts]
+        young, old = self._young, self._old
+        new = []
+        for chunk in set().union(*chunks).difference(young):
+            found = old.get(chunk)
+            if found is None:
+                new.append(chunk)
+            else:
+                young[chunk] = found
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
             for chunk, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[chunk] = array("I", found.ids).tobytes()
-        out = [b"".join(map(known.__getitem__, own)) for own in chunks]
-        self._known = known if len(known) <= REMEMBERED else {"": b""}
+                young[chunk] = array("I", found.ids).tobytes()
+        out = [b"".join(map(young.__getitem__, own)) for own in chunks]
+        if len(young) > REMEMBERED:
+            self._young, self._old = {}, young
         return out
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        if "<|" not in text:
+            text = text.encode().translate(LOWER).decode()
+        return CLOSING.sub(r" \1", text.replace("\n", " ").replace("\t", " ")).split(" ")
+
 
 @lru_cache(1)
 def _tokenizer(path: str) -> ChunkTokenizer:
