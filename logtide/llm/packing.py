@@ -29,7 +29,7 @@ from .common import cut, id_and_text
 
 CAPACITY = 2048
 #: Chunks of text whose ids a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Rows of one length that one rank window holds, on average.
 RANK_ROWS = 200_000
 
