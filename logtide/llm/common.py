@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +52,16 @@ def whole_text(name: str = "text") -> Column:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator needs: other columns, whatever their names, can't clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+
+
+def runs(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of about `most` characters."""
+    own, size = [], 0
+    for text in texts:
+        own.append(text)
+        size += len(text)
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own

@@ -4,8 +4,8 @@ Distinct lines are joined at edit distance `DISTANCE` or less. If a line of
 length l is cut into DISTANCE + 1 segments, a line that near keeps one of them
 whole, at a place that its length bounds. So each line is indexed by its
 segments, and probes, for its own and each shorter length in reach, the few
-substrings that can hold such a segment. What meets is verified with a banded
-bit-parallel edit distance. Lines under `SHORT` characters are joined by
+substrings that can hold such a segment; keys that only probes have go at
+once. What meets is verified with a banded bit-parallel edit distance. Lines under `SHORT` characters are joined by
 equality alone: of them nearly all are near each other.
 
 Copies of a line are one row from the start. A key that many lines share is cut
@@ -21,13 +21,16 @@ no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, groupby
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, runs
 from .components import components
 
 DISTANCE, SHORT = 2, 24
@@ -76,60 +79,104 @@ def distance_within(a: str, b: str, most: int) -> int | None:
     return next((d for d in range(most + 1) if reach[d] >> last & 1), None)
 
 
-def _segments(length: Column, distance: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each segment of a line, even, the longer ones last; starts count from 0."""
-    n = distance + 1
-    base = F.floor(length / n).cast("int")
-    longer = (length % n).cast("int")
-    out, start = [], F.lit(0)
-    for i in range(n):
-        own = base + F.when(F.lit(i) >= F.lit(n) - longer, 1).otherwise(0)
-        out.append((start, own))
-        start = start + own
-    return out
-
-
 def _window(i: int, shorter: int, distance: int) -> range:
     """Shifts against segment i's start at which a line longer by `shorter` can hold it."""
     return range(max(-i, shorter - (distance - i)), min(i, shorter + distance - i) + 1)
 
 
-def _keyed(lines: DataFrame, distance: int) -> DataFrame:
-    """(key, segment, shift, line_key): a line's own segments, with shift null, and what else it probes.
+@lru_cache
+def _codes(distance: int) -> list[tuple[int, int, int]]:
+    """(segment, how much shorter the indexed line is, shift) of each key of a line by its code; own segments come first."""
+    own = [(i, 0, 0) for i in range(distance + 1)]
+    probes = [(i, shorter, shift) for shorter in range(distance + 1) for i in range(distance + 1) for shift in _window(i, shorter, distance)]
+    return own + [p for p in probes if p not in own]
 
-    The key hashes segment, length of the indexed line and substring. Against
-    lines of its own length a line also probes its own segments where they are.
-    """
-    length = F.char_length("line")
-    found = []
 
-    def add(i: int, n: Column, start: Column, size: Column, shift: int | None) -> None:
-        key = F.xxhash64(F.lit(i), n, F.substring(F.col("line"), start + 1, size))
-        found.append(F.struct(key.alias("key"), F.lit(i).cast("byte").alias("segment"), F.lit(shift).cast("byte").alias("shift")))
+def _code_bits(distance: int) -> int:
+    return (len(_codes(distance)) - 1).bit_length()
 
-    for i, (start, size) in enumerate(_segments(length, distance)):
-        add(i, length, start, size, None)
-    for shorter in range(distance + 1):
-        cuts = _segments(length - shorter, distance)
-        for i, (start, size) in enumerate(cuts):
-            for shift in (s for s in _window(i, shorter, distance) if shorter or s):
-                add(i, length - shorter, start + shift, size, shift)
-    return lines.filter(length >= SHORT).select(F.explode(F.array(*found)).alias("k"), "line_key").select("k.*", "line_key")
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser of splitmix."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class RollingHash:
+    """Hashes of substrings of many lines at once, from one prefix sum of symbols times powers of an odd base."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        self._symbols = _mix(np.arange(1, 1 << 16 | 1, dtype=np.uint64))
+        self._up = self._down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._up) < n:
+            size = max(n, 1 << 20)
+            inverse = pow(self.BASE, -1, 1 << 64)
+            self._up, self._down = (np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (self.BASE, inverse))
+        return self._up, self._down
+
+    def keys(self, lines: list[str], codes: list[tuple[int, int, int]], distance: int) -> np.ndarray:
+        """One row of hashes for each code: of segment, length of the indexed line and substring."""
+        points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+        up, down = self._powers(len(points) + 1)
+        value = self._symbols[points & 0xFFFF] ^ (points >> 16).astype(np.uint64)
+        prefix = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(value * up[: len(points)], out=prefix[1:])
+        length = np.fromiter(map(len, lines), np.int64, len(lines))
+        first = np.cumsum(length) - length
+        out = np.empty((len(codes), len(lines)), np.uint64)
+        for row, (i, shorter, shift) in enumerate(codes):
+            start, size = _segment(length - shorter, i, distance)
+            at = first + start + shift
+            seed = _mix(((length - shorter) * (distance + 1) + i).astype(np.uint64))
+            out[row] = _mix((prefix[at + size] - prefix[at]) * down[at] ^ seed)
+        return out
 
-def _cut_line(line: str, distance: int) -> list[tuple[int, int]]:
-    base, longer, out, start = *divmod(len(line), distance + 1), [], 0
-    for i in range(distance + 1):
-        own = base + (i >= distance + 1 - longer)
-        out.append((start, own))
-        start += own
-    return out
+
+def _segment(length, i: int, distance: int):
+    """(start, length) of segment i of a line, or of many: segments are even, the longer ones last."""
+    base, left = length // (distance + 1), length % (distance + 1)
+    past = i - (distance + 1 - left)
+    return i * base + past * (past > 0), base + (past >= 0)
+
+
+@lru_cache(1)
+def _hasher() -> RollingHash:
+    return RollingHash()
+
+
+def _keyed(lines: DataFrame, distance: int, own: bool = False) -> DataFrame:
+    """(key, line_key): a line's own segments and, unless own alone are asked for, what else it probes.
+
+    A key is a hash whose low bits are the code of what it hashes. Against lines
+    of its own length a line also probes its own segments where they are.
+    """
+    codes = _codes(distance)[: distance + 1 if own else None]
+    bits = np.uint64(_code_bits(distance))
+    low = np.arange(len(codes), dtype=np.uint64)[:, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _hasher()
+        for batch in batches:
+            names, at = batch.column(1).to_numpy(), 0
+            for group in runs(batch.column(0).to_pylist(), 500_000):
+                keys = hasher.keys(group, codes, distance) >> bits << bits | low
+                mine = np.tile(names[at : at + len(group)], len(codes))
+                at += len(group)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(mine)], names=["key", "line_key"])
+
+    return lines.filter(F.char_length("line") >= SHORT).select("line", "line_key").mapInArrow(run, "key long, line_key long")
 
 
 def first_key(probing: str, indexed: str, distance: int) -> tuple[int, int] | None:
     """(segment, shift) of the first key in which the two lines meet."""
     shorter = len(probing) - len(indexed)
-    for i, (start, size) in enumerate(_cut_line(indexed, distance)):
+    for i in range(distance + 1):
+        start, size = _segment(len(indexed), i, distance)
         for shift in _window(i, shorter, distance):
             if start + shift >= 0 and probing[start + shift : start + shift + size] == indexed[start : start + size]:
                 return i, shift
@@ -137,10 +184,11 @@ def first_key(probing: str, indexed: str, distance: int) -> tuple[int, int] | No
 
 
 def _links(distance: int):
-    """For rows sorted by key, x, y: links of each group as (a, b, n), with b null and n the number of a's links, or n 0."""
+    """For rows sorted by bucket, x, y: links of each group as (a, b, n), with b null and n the number of a's links, or n 0."""
+    codes = _codes(distance)
 
     def group(x: int, y: int, rows: list[tuple]) -> Iterator[tuple]:
-        indexed = [(name, line, own, i) for name, line, own, i, shift in rows if shift is None]
+        indexed = [(name, line, own) for name, line, own, code in rows if code <= distance]
         counts: dict[str, int] = {}
         root: dict[str, str] = {}
 
@@ -149,11 +197,10 @@ def _links(distance: int):
                 n = root[n]
             return n
 
-        for a, line, own_a, i, shift in rows:
-            shift = shift or 0
-            for b, other, own_b, _ in indexed:
-                longer = len(line) - len(other)
-                if a == b or not 0 <= longer <= distance or (not longer and a < b) or (min(own_a, own_b), max(own_a, own_b)) != (x, y):
+        for a, line, own_a, code in rows:
+            i, shorter, shift = codes[code]
+            for b, other, own_b in indexed:
+                if a == b or len(line) - len(other) != shorter or (not shorter and a < b) or (min(own_a, own_b), max(own_a, own_b)) != (x, y):
                     continue
                 if first_key(line, other, distance) == (i, shift) and distance_within(line, other, distance) is not None:
                     counts[a], counts[b] = counts.get(a, 0) + 1, counts.get(b, 0) + 1
@@ -165,7 +212,7 @@ def _links(distance: int):
             yield a, None, n
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = chain.from_iterable(p.astype({"shift": object}).where(p.notna(), None).itertuples(index=False, name=None) for p in parts)
+        rows = chain.from_iterable(zip(*(p[name].tolist() for name in p.columns), strict=True) for p in parts)
         out = []
         for (_, x, y), own in groupby(rows, key=lambda r: r[:3]):
             out += group(x, y, [r[3:] for r in own])
@@ -187,15 +234,19 @@ def distinct_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def join_lines(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """line_id, doc_id, n_copies, n_links, class_id: one row for each distinct line; class_id is the least line_id reached."""
     lines = cut(distinct_lines(docs, id_col, text_col), as_table=True)
-    keyed = _keyed(lines, distance)
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-    shared = sizes.filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    bits = _code_bits(distance)
+    bucket = F.shiftrightunsigned("key", bits)
+    indexed = _keyed(lines, distance, own=True).groupBy(bucket.alias("bucket")).agg(F.lit(1).alias("one"))
+    # Buckets without an indexed line go in the join, those of one row alone after it.
+    held = cut(_keyed(lines, distance).join(indexed, bucket == F.col("bucket")).select("bucket", (F.col("key").bitwiseAND((1 << bits) - 1)).cast("byte").alias("code"), "line_key"), as_table=True)
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("n"))
+    shared = sizes.filter("n > 1").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.col("line_key"), F.col("blocks")).cast("int")
-    met = cut(keyed.join(shared, "key").select("key", "segment", "shift", "line_key", "blocks", own.alias("own")))
+    met = cut(held.join(shared, "bucket").select("bucket", "code", "line_key", "blocks", own.alias("own")), as_table=True)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = met.select("*", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "segment", "shift", "line_key", "own")
-    named = dealt.join(lines.select("line_key", "line_id", "line"), "line_key").select("key", "x", "y", "line_id", "line", "own", "segment", "shift")
-    grouped = named.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    dealt = met.select("*", other).select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "code", "line_key", "own")
+    named = dealt.join(lines.select("line_key", "line_id", "line"), "line_key").select("bucket", "x", "y", "line_id", "line", "own", "code")
+    grouped = named.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     links = cut(grouped.mapInPandas(_links(distance), "a string, b string, n long"))
     counts = links.filter("b is null").groupBy("a").agg(F.sum("n").alias("n_links"))
     classes = components(links.filter("b is not null").select("a", "b"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, runs
 
 CAPACITY = 2048
 #: Chunks of text whose ids a worker remembers at most.
@@ -92,19 +92,6 @@ def _tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
-    """Runs of texts of about `most` characters."""
-    own, size = [], 0
-    for text in texts:
-        own.append(text)
-        size += len(text)
-        if size >= most:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
-
-
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of at most `capacity` tokens."""
     end, step = array("I", [end_id]).tobytes(), 4 * capacity
@@ -114,7 +101,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
             ids, rows = iter(batch.column(0).to_pylist()), []
-            for group in _groups(batch.column(1).to_pylist(), 1_000_000):
+            for group in runs(batch.column(1).to_pylist(), 1_000_000):
                 for found in tokenizer.encode(group):
                     data, doc = found + end, next(ids)
                     rows += [(doc, at // step, at // 4, min(step, len(data) - at) // 4, zlib.crc32(data[at : at + step])) for at in range(0, len(data), step)]
