@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, runs
 from .simhash import words
 
 STATES, ROUNDS, HEAD, STRETCH, LANES = 8, 4, 20_000, 128, 1024
 SMOOTH = 0.1
 #: Words whose counts a task holds before it hands them on.
 HELD_WORDS = 200_000
+#: Characters of the texts that a task scores at once, but for single longer texts.
+SCORED = 1_000_000
 
 
 @dataclass
@@ -220,33 +222,36 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_word
     head_log = np.log10(np.array([n for _, n in head] + [1.0, end_n]) + SMOOTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each text (word null), and one for each of its tail words."""
+        """One row for each text, and one for each of its tail words. A text's row has a word that no text can hold: a blank and its id."""
         names = ["doc_id", "text_key", "word", "m", "n_tokens", "n_known", "base_score", "score"]
+        types_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
-            all_words = [words(text) for text in batch.column(1).to_pylist()]
-            symbols = [model.symbols(own) for own in all_words]
-            logs = forward_log10(model, symbols)
-            cols: list[list] = [[] for _ in names]
-            for doc, key, own, sym, log in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), all_words, symbols, logs, strict=True):
-                rare = sym[:-1] == model.tail
-                known = sym[~np.append(rare, False)]
-                base = head_log[known].sum() - norm * len(sym)
-                row = (doc, key, None, 1, len(sym), len(known) - (end_n == 0), base, log)
-                for col, x in zip(cols, row, strict=True):
-                    col.append(x)
-                if rare.any():
-                    found = Counter(own[i] for i in np.flatnonzero(rare).tolist())
-                    n = len(found)
-                    for col, x in zip(cols, ([doc] * n, [key] * n, found.keys(), found.values(), [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
-                        col.extend(x)
-            types_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=names)
+            ids = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            for group in runs(batch.column(1).to_pylist(), SCORED):
+                all_words = [words(text) for text in group]
+                symbols = [model.symbols(own) for own in all_words]
+                logs = forward_log10(model, symbols)
+                cols: list[list] = [[] for _ in names]
+                for own, sym, log in zip(all_words, symbols, logs, strict=True):
+                    doc, key = next(ids)
+                    rare = sym[:-1] == model.tail
+                    known = sym[~np.append(rare, False)]
+                    base = head_log[known].sum() - norm * len(sym)
+                    row = (doc, key, b" %d" % doc if doc is not None else b" ", 1, len(sym), len(known) - (end_n == 0), base, log)
+                    for col, x in zip(cols, row, strict=True):
+                        col.append(x)
+                    if rare.any():
+                        found = Counter(own[i] for i in np.flatnonzero(rare).tolist())
+                        n = len(found)
+                        for col, x in zip(cols, ([doc] * n, [key] * n, found.keys(), found.values(), [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
+                            col.extend(x)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=names)
 
     keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     parts = keyed.mapInArrow(run, "doc_id long, text_key long, word binary, m long, n_tokens long, n_known long, base_score double, score double")
     joined = parts.join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
-    is_text = F.col("word").isNull()
+    is_text = F.col("n_tokens") > 0
     tail_log = F.when(is_text, 0.0).otherwise(F.col("m") * F.log10(c + SMOOTH))
     summed = joined.groupBy("doc_id", "text_key").agg(
         F.sum(is_text.cast("long")).alias("copies"),
