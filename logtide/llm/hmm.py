@@ -30,6 +30,8 @@ from .simhash import words
 
 STATES, ROUNDS, HEAD, STRETCH, LANES = 8, 4, 20_000, 128, 1024
 SMOOTH = 0.1
+#: Steps of the forward recursion between two scalings: no probability of a symbol is so low that so many of them underflow.
+RESCALE = 8
 #: Words whose counts a task holds before it hands them on.
 HELD_WORDS = 200_000
 #: Characters of the texts that a task scores at once, but for single longer texts.
@@ -115,7 +117,7 @@ def expected_counts(model: Model, lanes: np.ndarray, ends: np.ndarray) -> tuple[
     return gamma[0, : live[0]].sum(0, dtype=np.float64), move * model.move, emit, log10
 
 
-def _stretches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held: list[np.ndarray] = []
 
     def lanes() -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +129,8 @@ def _stretches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
         return out, ends
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            symbols = model.symbols(words(text))
+        for data in batch.column(0).to_pylist():
+            symbols = np.frombuffer(data, np.int32)
             for at in range(0, len(symbols), STRETCH):
                 held.append(symbols[at : at + STRETCH])
                 if len(held) == LANES:
@@ -138,14 +140,26 @@ def _stretches(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
         yield lanes()
 
 
-def train_round(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts over all texts. Each task sends at most a row for each symbol, and the driver gets as many."""
+def symbol_table(texts: DataFrame, model: Model) -> DataFrame:
+    """(symbols): each text's symbols as 32-bit numbers; rounds differ in no index, so that one table serves all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.symbols(words(text)).tobytes() for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["symbols"])
+
+    return texts.select("text").mapInArrow(run, "symbols binary")
+
+
+def train_round(texts: DataFrame, model: Model, symbols: DataFrame | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected counts over all texts. Each task sends at most a row for each symbol, and the driver gets as many. symbols: symbol_table() of texts, if it is at hand."""
+    symbols = symbol_table(texts, model) if symbols is None else symbols
     states = len(model.start)
     fields = [f"s{i}" for i in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit, log10 = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), 0.0
-        for lanes, ends in _stretches(model, batches):
+        for lanes, ends in _stretches(batches):
             a, b, c, d = expected_counts(model, lanes, ends)
             start, move, emit, log10 = start + a, move + b, emit + c, log10 + d
         all_rows = np.concatenate([emit, move, start[None], np.r_[log10, np.zeros(states - 1)][None]])
@@ -154,7 +168,7 @@ def train_round(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray,
 
     schema = "at long, " + ", ".join(f"{f} double" for f in fields)
     total = np.zeros((len(model.emit) + states + 2, states))
-    for at, *values in texts.select("text").mapInArrow(run, schema).groupBy("at").agg(*(F.sum(f) for f in fields)).collect():
+    for at, *values in symbols.mapInArrow(run, schema).groupBy("at").agg(*(F.sum(f) for f in fields)).collect():
         total[at] = values
     n = len(model.emit)
     return total[n + states], total[n : n + states], total[:n], float(total[n + states + 1, 0])
@@ -175,8 +189,9 @@ def first_model(head: list[tuple[bytes, int]], tail_n: int, end_n: int, states:
 
 def train(texts: DataFrame, head: list[tuple[bytes, int]], tail_n: int, end_n: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
     model, share = first_model(head, tail_n, end_n, states)
+    symbols = cut(symbol_table(texts, model), as_table=True)
     for _ in range(rounds):
-        start, move, emit, _ = train_round(texts, model)
+        start, move, emit, _ = train_round(texts, model, symbols)
         emit = emit + share[:, None]
         model = Model(model.index, ((start + 1) / (start + 1).sum()).astype(np.float32), ((move + 1) / (move + 1).sum(1, keepdims=True)).astype(np.float32), (emit / emit.sum(0)).astype(np.float32))
     return model
@@ -186,22 +201,22 @@ def forward_log10(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Exact log10 likelihood of each whole symbol sequence, by the scaled forward recursion."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     out = np.zeros(len(texts))
-    move, start, emit = model.move.astype(np.float64), model.start.astype(np.float64), model.emit
-    for lo in range(0, len(order), 512):
-        own = order[lo : lo + 512]
+    move, start, emit = model.move.astype(np.float64), model.start.astype(np.float64), model.emit.astype(np.float64)
+    for lo in range(0, len(order), LANES):
+        own = order[lo : lo + LANES]
         ends = np.array([len(texts[i]) for i in own])
         flat = np.concatenate([texts[i] for i in own])
         at = np.r_[0, np.cumsum(ends)[:-1]]
-        alpha = np.zeros((len(own), len(start)))
         total = np.zeros(len(own))
-        k = len(own)
-        for t in range(ends[0]):
-            while ends[k - 1] <= t:
-                k -= 1
-            alpha = (start if t == 0 else alpha[:k] @ move) * emit[flat[at[:k] + t]]
-            scale = alpha.sum(1)
-            alpha /= scale[:, None]
-            total[:k] += np.log10(scale)
+        alpha = emit[flat[at]] * start
+        for t in range(1, ends[0]):
+            if ends[len(alpha) - 1] <= t or t % RESCALE == 0:
+                scale = alpha.sum(1)
+                total[: len(alpha)] += np.log10(scale)
+                alpha = (alpha / scale[:, None])[: int(np.searchsorted(-ends, -t))]
+            alpha = alpha @ move
+            alpha *= emit[flat[at[: len(alpha)] + t]]
+        total[: len(alpha)] += np.log10(alpha.sum(1))
         out[own] = total
     return out
 
@@ -226,30 +241,33 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_word
         names = ["doc_id", "text_key", "word", "m", "n_tokens", "n_known", "base_score", "score"]
         types_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
-            ids = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            symbols: list[np.ndarray] = []
             for group in runs(batch.column(1).to_pylist(), SCORED):
-                all_words = [words(text) for text in group]
-                symbols = [model.symbols(own) for own in all_words]
-                logs = forward_log10(model, symbols)
-                cols: list[list] = [[] for _ in names]
-                for own, sym, log in zip(all_words, symbols, logs, strict=True):
-                    doc, key = next(ids)
-                    rare = sym[:-1] == model.tail
-                    known = sym[~np.append(rare, False)]
-                    base = head_log[known].sum() - norm * len(sym)
-                    row = (doc, key, b" %d" % doc if doc is not None else b" ", 1, len(sym), len(known) - (end_n == 0), base, log)
-                    for col, x in zip(cols, row, strict=True):
-                        col.append(x)
-                    if rare.any():
-                        found = Counter(own[i] for i in np.flatnonzero(rare).tolist())
+                cols: list[list] = [[], [], [], []]
+                for text in group:
+                    own, at = words(text), len(symbols)
+                    symbols.append(sym := model.symbols(own))
+                    rare = np.flatnonzero(sym[:-1] == model.tail).tolist()
+                    if rare:
+                        found = Counter([own[i] for i in rare])
                         n = len(found)
-                        for col, x in zip(cols, ([doc] * n, [key] * n, found.keys(), found.values(), [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
+                        for col, x in zip(cols, ([ids[at]] * n, [keys[at]] * n, found.keys(), found.values()), strict=True):
                             col.extend(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=names)
+                n = len(cols[0])
+                if n:
+                    none = [pa.array(np.zeros(n, kind)) for kind in (np.int64, np.int64, np.float64, np.float64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=False)] + none, names=names)
+            head_only = [sym[sym != model.tail] for sym in symbols]
+            marks = [b" %d" % doc if doc is not None else b" " for doc in ids]
+            base = [head_log[known].sum() - norm * len(sym) for known, sym in zip(head_only, symbols, strict=True)]
+            cols = [ids, keys, marks, [1] * len(ids), [len(sym) for sym in symbols], [len(known) - (end_n == 0) for known in head_only], base, forward_log10(model, symbols)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=names)
 
     keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     parts = keyed.mapInArrow(run, "doc_id long, text_key long, word binary, m long, n_tokens long, n_known long, base_score double, score double")
-    joined = parts.join(counts, "word", "left")
+    # A word is one row of counts, so that a partition of them is small: no side need be sorted.
+    joined = parts.join(counts.hint("shuffle_hash"), "word", "left")
     c = F.coalesce("n", F.lit(0))
     is_text = F.col("n_tokens") > 0
     tail_log = F.when(is_text, 0.0).otherwise(F.col("m") * F.log10(c + SMOOTH))
