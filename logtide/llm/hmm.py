@@ -221,6 +221,17 @@ def forward_log10(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _least_count(counts: DataFrame, n_words: int) -> int:
+    """A count that at least n_words words reach, or all do: what sorts the head then gets little more than it."""
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect()  # under 512 rows
+    least, found = 0, 0
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        least, found = row["least"], found + row["words"]
+        if found >= n_words:
+            break
+    return least
+
+
 def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
     texts = id_and_text(docs, id_col, text_col)
@@ -229,7 +240,8 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_word
     n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end_n = training.count()
     train_tokens, types = n_words + end_n, n_types + (end_n > 0)
-    head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    often = counts.filter(F.col("n") >= _least_count(counts, head_words))
+    head = [(bytes(r["word"]), r["n"]) for r in often.orderBy(F.desc("n"), "word").limit(head_words).collect()]
     model = train(training, head, n_words - sum(n for _, n in head), end_n, states, rounds)
     norm = np.log10(train_tokens + SMOOTH * (types + 1))
     # The tail has its words and one place for all unseen ones, each smoothed as in the base.
