@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, only
 
 #: Arcs, pairs and pieces that a worker remembers at most.
 REMEMBERED_ARCS, REMEMBERED_PAIRS, REMEMBERED_PIECES = 500_000, 500_000, 300_000
@@ -220,16 +219,11 @@ class Codec:
         yield stream.close()
 
 
-@lru_cache(1)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
-
-
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary, pattern)
+        own = only(Codec, vocabulary, pattern)
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for text in batch.column(1).to_pylist():

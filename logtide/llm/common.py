@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +65,15 @@ def runs(texts: list[str], most: int) -> Iterator[list[str]]:
             own, size = [], 0
     if own:
         yield own
+
+
+_one: dict = {}
+
+
+def only(make: Callable, *args):
+    """make(*args), remembered until this worker asks for something else: operators that share workers don't pile up their tables."""
+    if (make, args) not in _one:
+        _one.clear()
+        gc.collect()
+        _one[make, args] = make(*args)
+    return _one[make, args]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, only
 
 BUCKETS = 1 << 14
 LABELLED = 20_000
@@ -40,7 +40,6 @@ BINS = 4096
 
 #: Tokens whose hash and shape a worker remembers at most.
 REMEMBERED = 300_000
-_known: dict[str, int] = {}
 
 
 def _mark(token: str) -> int:
@@ -54,11 +53,12 @@ def features(text: str, buckets: int) -> np.ndarray:
     tokens = TOKEN.findall(text)
     if not tokens:
         return np.zeros(0, np.int64)
-    for token in set(tokens).difference(_known):
-        _known[token] = _mark(token)
-    marks = np.fromiter(map(_known.__getitem__, tokens), np.int64, len(tokens))
-    if len(_known) > REMEMBERED:
-        _known.clear()
+    known: dict[str, int] = only(dict)
+    for token in set(tokens).difference(known):
+        known[token] = _mark(token)
+    marks = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+    if len(known) > REMEMBERED:
+        known.clear()
     one, shape = marks >> 3, marks & 7
     again = np.r_[False, one[1:] == one[:-1]]  # a word that repeats the one before
     pairs = (one[:-1] * 0x9E3779B1 + one[1:]) & 0xFFFFFFFF

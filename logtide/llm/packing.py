@@ -12,12 +12,12 @@ repeated rows are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text, runs
+from .common import cut, id_and_text, only, runs
 
 CAPACITY = 2048
 #: Chunks of text whose ids a worker remembers at most.
@@ -49,9 +49,11 @@ class ChunkTokenizer:
     texts where that could make a special token's string.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self._remembered = remembered
         self._tokenizer = Tokenizer.from_file(path)
         # Two generations: when the young one is full it becomes the old one, and what is used again moves back.
         self._young: dict[str, bytes] = {}
@@ -73,7 +75,7 @@ class ChunkTokenizer:
             for chunk, found in zip(part, self._tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 young[chunk] = array("I", found.ids).tobytes()
         out = [b"".join(map(young.__getitem__, own)) for own in chunks]
-        if len(young) > REMEMBERED:
+        if len(young) > self._remembered:
             self._young, self._old = {}, young
         return out
 
@@ -84,21 +86,13 @@ class ChunkTokenizer:
         return CLOSING.sub(r" \1", text.replace("\n", " ").replace("\t", " ")).split(" ")
 
 
-@lru_cache(1)
-def _tokenizer(path: str) -> ChunkTokenizer:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return ChunkTokenizer(path)
-
-
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 for each piece of at most `capacity` tokens."""
     end, step = array("I", [end_id]).tobytes(), 4 * capacity
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(vocabulary)
+        tokenizer = only(ChunkTokenizer, vocabulary, remembered)
         for batch in batches:
             ids, rows = iter(batch.column(0).to_pylist()), []
             for group in runs(batch.column(1).to_pylist(), 1_000_000):
@@ -155,9 +149,9 @@ def plan_best_fit(counts: Mapping[int, int], capacity: int) -> tuple[np.ndarray,
     return np.array(placed, np.int64).reshape(-1, 4), bins
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """pieces() with sequence_id and offset."""
-    cutted = cut(pieces(docs, vocabulary, capacity, end_id, id_col, text_col))
+    cutted = cut(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, remembered))
     counts = {row["length"]: row["n"] for row in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = plan_best_fit(counts, capacity)
     deals = max(64, sum(counts.values()) // RANK_ROWS)
