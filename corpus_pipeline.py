@@ -32,7 +32,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the texts with their places in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=250_000)  # the workers' memory is shared with other stages
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_copies), ("near dedup", near_copies), ("secret scans", secret_spans), ("best-fit packing", packed)]
