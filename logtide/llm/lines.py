@@ -5,8 +5,9 @@ length l is cut into DISTANCE + 1 segments, a line that near keeps one of them
 whole, at a place that its length bounds. So each line is indexed by its
 segments, and probes, for its own and each shorter length in reach, the few
 substrings that can hold such a segment; keys that only probes have go at
-once. What meets is verified with a banded bit-parallel edit distance. Lines under `SHORT` characters are joined by
-equality alone: of them nearly all are near each other.
+once. What meets is verified with a banded bit-parallel edit distance. Short
+lines are joined like any other: of a line under DISTANCE + 1 characters some
+segments are empty, and an empty one meets wherever its place is in the line.
 
 Copies of a line are one row from the start. A key that many lines share is cut
 into blocks that are compared block by block; of a block just the number of
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, runs
 from .components import components
 
-DISTANCE, SHORT = 2, 24
+DISTANCE = 2
+#: The least length of a line that is joined by edits: none is too short.
+SHORT = 0
 BLOCK = 64
 
 
@@ -119,8 +122,8 @@ class RollingHash:
             self._up, self._down = (np.cumprod(np.r_[np.uint64(1), np.full(size, b, np.uint64)]) for b in (self.BASE, inverse))
         return self._up, self._down
 
-    def keys(self, lines: list[str], codes: list[tuple[int, int, int]], distance: int) -> np.ndarray:
-        """One row of hashes for each code: of segment, length of the indexed line and substring."""
+    def keys(self, lines: list[str], codes: list[tuple[int, int, int]], distance: int) -> tuple[np.ndarray, np.ndarray]:
+        """One row of hashes for each code, of segment, length of the indexed line and substring; and whether the line has such a place."""
         points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
         up, down = self._powers(len(points) + 1)
         value = self._symbols[points & 0xFFFF] ^ (points >> 16).astype(np.uint64)
@@ -128,13 +131,15 @@ class RollingHash:
         np.cumsum(value * up[: len(points)], out=prefix[1:])
         length = np.fromiter(map(len, lines), np.int64, len(lines))
         first = np.cumsum(length) - length
-        out = np.empty((len(codes), len(lines)), np.uint64)
+        out, has = np.empty((len(codes), len(lines)), np.uint64), np.empty((len(codes), len(lines)), bool)
         for row, (i, shorter, shift) in enumerate(codes):
-            start, size = _segment(length - shorter, i, distance)
-            at = first + start + shift
+            start, size = _segment(np.maximum(length - shorter, 0), i, distance)
+            has[row] = (length >= shorter) & (start + shift >= 0) & (start + shift + size <= length)
+            at = np.where(has[row], first + start + shift, 0)
+            size = np.where(has[row], size, 0)
             seed = _mix(((length - shorter) * (distance + 1) + i).astype(np.uint64))
             out[row] = _mix((prefix[at + size] - prefix[at]) * down[at] ^ seed)
-        return out
+        return out, has
 
 
 def _segment(length, i: int, distance: int):
@@ -164,12 +169,13 @@ def _keyed(lines: DataFrame, distance: int, own: bool = False) -> DataFrame:
         for batch in batches:
             names, at = batch.column(1).to_numpy(), 0
             for group in runs(batch.column(0).to_pylist(), 500_000):
-                keys = hasher.keys(group, codes, distance) >> bits << bits | low
-                mine = np.tile(names[at : at + len(group)], len(codes))
+                keys, has = hasher.keys(group, codes, distance)
+                keys = (keys >> bits << bits | low)[has]
+                mine = np.broadcast_to(names[at : at + len(group)], has.shape)[has]
                 at += len(group)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(mine)], names=["key", "line_key"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(mine)], names=["key", "line_key"])
 
-    return lines.filter(F.char_length("line") >= SHORT).select("line", "line_key").mapInArrow(run, "key long, line_key long")
+    return lines.select("line", "line_key").mapInArrow(run, "key long, line_key long")
 
 
 def first_key(probing: str, indexed: str, distance: int) -> tuple[int, int] | None:
@@ -178,7 +184,7 @@ def first_key(probing: str, indexed: str, distance: int) -> tuple[int, int] | No
     for i in range(distance + 1):
         start, size = _segment(len(indexed), i, distance)
         for shift in _window(i, shorter, distance):
-            if start + shift >= 0 and probing[start + shift : start + shift + size] == indexed[start : start + size]:
+            if 0 <= start + shift <= len(probing) - size and probing[start + shift : start + shift + size] == indexed[start : start + size]:
                 return i, shift
     return None
 

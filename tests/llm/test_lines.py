@@ -70,3 +70,17 @@ def test_odd_rows(odd, odd_rows, empty):
     rows = lines.join_lines(odd).collect()
     assert sum(r["n_copies"] for r in rows) == sum((t or "").count("\n") + 1 for _, t in odd_rows)
     assert lines.join_lines(empty).collect() == []
+
+
+def test_short_lines(spark):
+    rng = random.Random(7)
+    own = ["".join(rng.choice("abé ") for _ in range(n)) for n in range(27) for _ in range(3)]
+    own += [line[:at] + new + line[at + gone :] for line in own for new, gone in (("x", 0), ("xy", 1), ("", 2)) for at in (rng.randint(0, len(line)),)]
+    own = sorted({*own, "Are, is anwh reenen.", "Are. Is anwh reenen.", "\U0001f600", "a" * 23, "a" * 24})
+    links = [(a, b) for a, b in combinations(own, 2) if edit(a, b) <= 2]
+    assert any(max(len(a), len(b)) == 24 > min(len(a), len(b)) for a, b in links)
+    n = Counter(x for pair in links for x in pair)
+    names = {x: hashlib.md5(x.encode()).hexdigest() for x in own}
+    found = roots(names.values(), [(names[a], names[b]) for a, b in links])
+    got = {r["line_id"]: (r["n_links"], r["class_id"]) for r in lines.join_lines(make(spark, list(enumerate(own)))).collect()}
+    assert got == {names[x]: (n[x], found[names[x]]) for x in own}
