@@ -3,7 +3,8 @@
 Three fixed patterns give the base spans. The method adds spans of kind
 `random`: a run of key characters whose characters-per-token ratio under a
 byte-level vocabulary is low, which words, names and paths never have. Digests
-of known lengths, UUIDs and identifiers are excluded before the test.
+of known lengths, UUIDs and identifiers are excluded; that the letters of an
+identifier are words is decided by the same ratio.
 
 A span is the whole match, in code points, end exclusive. Defined results: a
 null text is the empty text and has no spans; repeated rows give repeated
@@ -32,7 +33,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
 DIGEST_LENGTHS = frozenset({32, 40, 48, 56, 64, 96, 128})
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDLIKE = re.compile(r"[A-Za-z]*|[0-9]*|[A-Za-z]{2,}[0-9]{1,4}")
+WORDLIKE = re.compile(r"([A-Za-z]*)|[0-9]*|([A-Za-z]{2,})[0-9]{1,4}")
 #: Characters a token: English prose has over 4, base64 of random bytes about 1.4.
 MAX_CHARS_PER_TOKEN = 2.0
 FIELDS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -47,11 +48,18 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("secret-scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_known(run: str) -> bool:
+def is_word(letters: str, encode, max_ratio: float) -> bool:
+    """Whether letters are one token, or few enough for their number."""
+    n = len(encode(letters))
+    return n <= 1 or len(letters) / n >= max_ratio
+
+
+def is_known(run: str, encode, max_ratio: float) -> bool:
     """Whether a run is a digest of a usual length, a UUID, or an identifier, path or number made of word-like parts."""
     if len(run) in DIGEST_LENGTHS and DIGEST.fullmatch(run) or UUID.fullmatch(run):
         return True
-    return all(WORDLIKE.fullmatch(part) for part in re.split(r"[+/_=-]", run))
+    parts = [WORDLIKE.fullmatch(part) for part in re.split(r"[+/_=-]", run)]
+    return all(parts) and all(is_word(m[1] or m[2] or "", encode, max_ratio) for m in parts)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -67,11 +75,11 @@ def random_spans(text: str, encode, base: list[tuple[int, int, int]], max_ratio:
     found = []
     for m in RUN.finditer(text):
         run = m.group()
-        if run.isalpha() or run.isdigit() or is_known(run):
+        if run.isdigit():
             continue
         if any(start <= m.start() and m.end() <= end for start, _, end in base):
             continue
-        if len(run) / max(1, len(encode(run))) < max_ratio:
+        if len(run) / max(1, len(encode(run))) < max_ratio and not is_known(run, encode, max_ratio):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import public_tokenizers
 
@@ -57,3 +59,20 @@ def test_token_efficiency(spark):
     assert spans[4].startswith("random:0:")
     assert secrets.redact(texts[0], spans[0]) == "see [SECRET] for it"
     assert secrets.redact("abc", "") == "abc"
+
+
+def test_keys_of_letters_alone(spark):
+    rng = random.Random(3)
+    own = lambda n, letters=string.ascii_letters: "".join(rng.choice(letters) for _ in range(n))
+    encode = secrets._encoding(*ARGS).encode_ordinary
+    mixed = [own(n) for n in (20, 24, 40) for _ in range(100)]
+    mixed += [f"{own(14)}{sign}{own(14)}" for sign in "+/_=-" for _ in range(20)]
+    lower = [own(24, string.ascii_lowercase) for _ in range(100)]
+    texts = [f"see {key} for it" for key in mixed + lower]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(make(spark, list(enumerate(texts))), *ARGS).collect()}
+    for i, key in enumerate(mixed + lower):
+        low = len(key) / len(encode(key)) < secrets.MAX_CHARS_PER_TOKEN
+        assert spans[i] == (f"random:4:{4 + len(key)}" if low else ""), key
+    assert sum(spans[i] != "" for i in range(len(mixed))) > 0.98 * len(mixed)
+    for text in ("src/a/b/c/d/e/f/g/h/i/j/k", "incomprehensibilitiesOfInternationalization", "the-file_of/all=words+and/names", "-" * 40, "1234567890" * 3):
+        assert secrets.random_spans(text, encode, [], secrets.MAX_CHARS_PER_TOKEN) == [], text
