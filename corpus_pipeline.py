@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import exact, importance, packing, secrets, simhash
+from logtide.llm import exact, importance, packing, secrets, shingles
 from logtide.llm.common import cut
 
 
@@ -21,8 +21,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the least id."""
-    return simhash.keep_one(docs)
+    """Of texts linked by shingles of five words at a similarity of 0.8 or more, the one with the least id stays."""
+    return shingles.keep_one(docs)
 
 
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_copies), ("near dedup", near_copies), ("secret scans", secret_spans), ("best-fit packing", packed)]
 
-#: Fingerprints, weights and tokens are beyond SQL; tests hold the stages against brute force.
+#: Shingles, weights and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
