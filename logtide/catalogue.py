@@ -588,6 +588,12 @@ def batch_by_span(spark, sf_dir):
     return pipeline.batch_by_span(_commits(spark, sf_dir).filter("commit_lsn <= 400000"), 65_536)
 
 
+@registered(LOG_SQL + ", c AS (SELECT DISTINCT commit_lsn FROM live), heads AS (WITH RECURSIVE h(lsn, batch) AS (SELECT min(commit_lsn), 0 FROM c UNION ALL SELECT (SELECT min(commit_lsn) FROM c WHERE commit_lsn >= h.lsn + 65536), h.batch + 1 FROM h WHERE EXISTS (SELECT 1 FROM c WHERE commit_lsn >= h.lsn + 65536)) SELECT * FROM h) SELECT c.commit_lsn, h.batch::BIGINT AS batch FROM c ASOF JOIN heads h ON c.commit_lsn >= h.lsn")
+def batch_by_span_all(spark, sf_dir):
+    """All commits; batch_by_span keeps to the first 400,000 positions, as its SQL does."""
+    return pipeline.batch_by_span(_commits(spark, sf_dir), 65_536)
+
+
 @registered("WITH f AS (SELECT event_id AS seq, (event_id + 1) * 512 AS wal_end, CASE WHEN event_id % 50 = 49 THEN (event_id - 20) * 512 END AS cp FROM events), m AS (SELECT min(wal_end) AS floor_ FROM f), r AS (SELECT seq, max(wal_end) OVER w AS got, max(cp) OVER w AS stored FROM f WINDOW w AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)) SELECT seq, got - greatest(coalesce(stored, floor_), floor_) AS lag, got - greatest(coalesce(stored, floor_), floor_) > 30000 AS sink_too_slow FROM r, m")
 def inflight_lag(spark, sf_dir):
     frames = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), ((F.col("event_id") + 1) * 512).alias("wal_end"), F.when(F.col("event_id") % 50 == 49, (F.col("event_id") - 20) * 512).alias("checkpoint"))
