@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import arrays, lsn, pgtypes
@@ -648,7 +647,18 @@ def metrics_allowlist(spark, sf_dir):
 
 @registered("WITH f AS (SELECT event_id AS seq, 1 + event_id % 3 AS top, event_id % 10 AS slot FROM events WHERE event_id < 300), o AS (SELECT seq, CASE WHEN slot IN (0, 1, 2) THEN 1 WHEN slot IN (7, 8) THEN -1 ELSE 0 END AS d FROM f) SELECT seq, CAST(sum(d) OVER (ORDER BY seq) AS BIGINT) AS open_streams, sum(d) OVER (ORDER BY seq) > 20 AS too_many FROM o")
 def too_many_streams(spark, sf_dir):
-    own = table(spark, sf_dir, "events").filter("event_id < 300").select(F.col("event_id").alias("seq"), F.expr("case when event_id % 10 in (0, 1, 2) then 1 when event_id % 10 in (7, 8) then -1 else 0 end").alias("d"))
-    open_ = F.sum("d").over(W.orderBy("seq"))
-    return own.select("seq", open_.alias("open_streams"), (open_ > 20).alias("too_many"))
-
+    own = table(spark, sf_dir, "events").filter("event_id < 300").selectExpr("event_id as seq", "event_id div 10 as ten", "event_id % 10 as slot")
+    frames = own.selectExpr("seq", "case when slot < 3 then 'start' when slot in (7, 8) then 'commit' else 'row' end as kind", "case when slot < 3 then ten * 3 + slot when slot in (7, 8) then ten * 2 + slot - 7 end as xid", "cast(null as bigint) as subxid")
+    return pipeline.open_streams(frames, 20)
+
+
+@registered(
+    "WITH f AS (SELECT event_id AS seq, event_id // 10 AS ten, event_id % 10 AS slot FROM events), o AS (SELECT seq, CASE WHEN slot < 3 THEN 1 WHEN slot IN (5, 7, 8) AND ten >= 20 THEN -1 ELSE 0 END AS d FROM f) "
+    "SELECT seq, CAST(sum(d) OVER w AS BIGINT) AS open_streams, sum(d) OVER w > 61 AS too_many FROM o WINDOW w AS (ORDER BY seq)"
+)
+def too_many_streams_all(spark, sf_dir):
+    """All events as frames of streams that end 20 tens later, some by an abort; a second start and the abort of a part change nothing."""
+    own = table(spark, sf_dir, "events").selectExpr("event_id as seq", "event_id div 10 as ten", "event_id % 10 as slot")
+    kind = "case when slot < 4 then 'start' when slot in (4, 5) then 'abort' when slot in (7, 8) then 'commit' else 'row' end as kind"
+    xid = "case when slot < 3 then ten * 3 + slot when slot in (3, 4) then ten * 3 when slot = 5 then (ten - 20) * 3 when slot in (7, 8) then (ten - 20) * 3 + slot - 6 end as xid"
+    return pipeline.open_streams(own.selectExpr("seq", kind, xid, "case when slot = 4 then -1 end as subxid"), 61)

@@ -68,6 +68,37 @@ def inflight(frames: DataFrame, limit: int) -> DataFrame:
     return frames.withColumn("lag", lag).withColumn("sink_too_slow", F.col("lag") > limit)
 
 
+#: Positions whose running sum is one window.
+POSITIONS = 65_536
+
+
+def open_streams(frames: DataFrame, limit: int) -> DataFrame:
+    """For each frame how many streamed transactions are open after it, and whether they are over the limit.
+
+    frames: seq, kind (start, commit, abort or other), xid, subxid. A start opens
+    its transaction unless it is open; a commit, or an abort of the whole (subxid
+    null or equal to xid), closes it. Sums of stretches of positions are carried
+    on, so that no window holds all frames.
+    """
+    ends = (F.col("kind") == "commit") | ((F.col("kind") == "abort") & F.coalesce(F.col("subxid") == F.col("xid"), F.lit(True)))
+    marked = frames.select("seq", "xid", F.when(F.col("kind") == "start", 1).when(ends, -1).alias("turn"))
+    of = marked.filter("turn is not null and xid is not null")
+    before = F.coalesce(F.lag("turn").over(W.partitionBy("xid").orderBy("seq")), F.lit(-1))
+    moves = of.select("seq", F.when(F.col("turn") != before, F.col("turn")).otherwise(0).alias("d"))
+    stretch = F.floor(F.col("seq") / POSITIONS).alias("stretch")
+    each = moves.unionByName(marked.filter("turn is null or xid is null").select("seq", F.lit(0).alias("d"))).select("seq", "d", stretch)
+    sums = each.groupBy("stretch").agg(F.sum("d").alias("s"))
+    carried = sums.select("stretch", F.coalesce(F.sum("s").over(W.orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
+    open_ = F.col("carried") + F.sum("d").over(W.partitionBy("stretch").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    return each.join(carried, "stretch").select("seq", open_.alias("open_streams")).withColumn("too_many", F.col("open_streams") > limit)
+
+
+def guard_streams(frames: DataFrame, limit: int) -> None:
+    """Stops where more streamed transactions are open than max_concurrent_txns allows."""
+    if open_streams(frames, limit).filter("too_many").limit(1).count():
+        raise RuntimeError("too_many_streams")
+
+
 def idle_position(frames: DataFrame, sink_kind: str, checkpoint: int | None) -> Any:
     """Where a state mirror may move its checkpoint when nothing is open: past trailing keepalives. frames: seq, kind (k, begin, commit), wal_end."""
     row = frames.agg(
