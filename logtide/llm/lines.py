@@ -261,3 +261,30 @@ def join_lines(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id"
         .join(classes, F.col("line_id") == classes.node, "left")
         .select("line_id", "doc_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "line_id").alias("class_id"))
     )
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    texts = id_and_text(docs, id_col, text_col)
+    return texts.select("doc_id", F.md5("text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+
+
+def members(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, place, line_id, n_copies, n_links, class_id: one row for each line of each row of docs; place counts a text's lines from 0."""
+    each = _placed(docs, id_col, text_col).select("doc_id", "place", F.unhex(F.md5("line")).alias("_line"))
+    found = cut(join_lines(docs, distance, id_col, text_col).select(F.unhex("line_id").alias("_line"), "line_id", "n_copies", "n_links", "class_id"), as_table=True)
+    return each.join(found, "_line").select("doc_id", "place", "line_id", "n_copies", "n_links", "class_id")
+
+
+def without_copies(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text: of each class of lines the first stays, by id (null last), text and place; empty lines are a class like any other.
+
+    Rows that repeat id and text are one; one that keeps no line goes.
+    """
+    each = _placed(docs, id_col, text_col).distinct().withColumn("line_id", F.md5("line"))
+    classed = cut(each.join(join_lines(docs, distance, id_col, text_col).select("line_id", "class_id"), "line_id"), as_table=True)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_id", "place")
+    first = classed.groupBy("class_id").agg(F.min(order).alias("first")).select("class_id", "first.*")
+    mine = F.struct("place", "line")
+    kept = classed.alias("c").join(first.alias("f"), (F.col("c.class_id") == F.col("f.class_id")) & F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.text_id") == F.col("f.text_id")) & (F.col("c.place") == F.col("f.place"))).select("c.*")
+    texts = kept.groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(mine)).alias("lines"))
+    return texts.select("doc_id", F.array_join(F.col("lines.line"), "\n").alias("text"))

@@ -43,7 +43,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.join_lines(table(spark, sf_dir, "documents"))
+    return lines.members(table(spark, sf_dir, "documents"))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,13 @@ def test_short_lines(spark):
     found = roots(names.values(), [(names[a], names[b]) for a, b in links])
     got = {r["line_id"]: (r["n_links"], r["class_id"]) for r in lines.join_lines(make(spark, list(enumerate(own)))).collect()}
     assert got == {names[x]: (n[x], found[names[x]]) for x in own}
+
+
+def test_members_and_texts_without_copies(spark):
+    rows = [(1, "a line that many have\nown line of the first one"), (2, "a line that many have.\nsomething else entirely here"), (2, "a line that many have.\nsomething else entirely here"), (3, "a line that many have"), (None, "a line thut many have\nlast words of the nameless")]
+    classes = {r["line_id"]: r["class_id"] for r in lines.join_lines(make(spark, rows)).collect()}
+    name = lambda line: hashlib.md5(line.encode()).hexdigest()
+    want = sorted((str(i), place, name(line), classes[name(line)]) for i, t in rows for place, line in enumerate(t.split("\n")))
+    assert sorted((str(r["doc_id"]), r["place"], r["line_id"], r["class_id"]) for r in lines.members(make(spark, rows)).collect()) == want
+    got = {r["doc_id"]: r["text"] for r in lines.without_copies(make(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "something else entirely here", None: "last words of the nameless"}
