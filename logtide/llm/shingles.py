@@ -1,18 +1,26 @@
-"""Near-duplicates by the Jaccard similarity of word shingles, exact.
+"""Near-duplicates by the Jaccard similarity of word shingles: fingerprints first, then the rest, exact.
 
 A text is the set of its distinct shingles, those of fewer words than the width
-one shingle. Two sets of similarity t or more share one of the first
-n - ceil(t * n) + 1 shingles of each, in any order that all texts keep to; the
-order here puts shingles that many texts have last. Sizes and places bound the
-overlap of what shares a key, and what is left is verified on the whole sets.
-
-Equal sets are one node. First each node is verified against one partner a key,
-another for each key, and what that links is contracted; then all pairs that
-still lie in different components are, a large key block by block.
+one shingle; equal sets are one node. Three rounds find links, each between
+nodes that the rounds before left apart, and each link is verified on the whole
+sets:
+
+1. SimHash fingerprints of the shingles within 3 bits, by pigeonring. Sets less
+   alike than about 0.95 often differ in more bits, and no number of bits that
+   buckets can hold is sure to keep all of 0.8; hence the other rounds.
+2. Two sets of similarity t or more share one of the first n - ceil(t * n) + 1
+   shingles of each, in any order that all texts keep to; the order here puts
+   shingles that many texts have last. Of each such key one node meets all
+   others, another node for each key.
+3. All pairs of a key that still lie apart, a large key block by block.
+
+Before texts are fetched, pairs are pruned by sizes, places and parity sketches.
+A sketch counts, modulo 2, the shingles that fall on each of its bits, so that
+two differ in no more bits than their sets do in shingles.
 
 Defined results: words are those of simhash; a null text is the empty text,
-equal to any other without words; ids are taken to be unique; an empty table
-gives no rows.
+equal to any other without words; rows may repeat ids; the least id of a
+component ignores nulls; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text
 from .components import components
-from .simhash import words
+from .simhash import majority, near_links, shingle_hashes
 
 SIMILARITY, WIDTH = Fraction(4, 5), 5
 #: Members of one block of a large key.
@@ -38,15 +46,24 @@ BLOCK = 256
 ROWS = 500
 #: Slots in which shingles are counted, and how far over the mean a common slot is. They order shingles and decide nothing else.
 SLOTS, COMMON = 1 << 18, 4
+#: Bits of a sketch, and the seed of the hashes.
+SKETCH, SEED = 1024, 42
 
 
 def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    from xxhash import xxh64_intdigest
+    return np.unique(shingle_hashes(text, width, SEED))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parity of how many of the hashes fall on each bit."""
+    return np.packbits(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).tobytes()
 
-    own = words(text)
-    parts = map(b" ".join, zip(*(own[i:] for i in range(width)), strict=False)) if len(own) >= width else [b" ".join(own)]
-    return np.unique(np.fromiter(map(xxh64_intdigest, parts), np.uint64))
+
+def may_be_near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Whether sketches (rows of 64-bit numbers) differ in no more bits than sets of that similarity, of `sizes` shingles together, can."""
+    p, q = similarity.numerator, similarity.denominator
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64) * (p + q) <= sizes * (q - p)
 
 
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,23 +75,26 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _nodes(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node) and, with node null, (slot, n): how many texts' shingles fall in a slot."""
+    """(doc_id, text_key, node, size, fp, sketch) and, with node null, (slot, n): how many texts' shingles fall in a slot."""
+    names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "slot", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(SLOTS, np.int64)
         for batch in _few(batches):
-            nodes = []
+            rows = []
             for text in batch.column(1).to_pylist():
-                own = shingles(text, width)
-                nodes.append(node_of(own))
+                every = shingle_hashes(text, width, SEED)
+                own = np.unique(every)
+                rows.append((node_of(own), len(own), np.uint64(majority(every)).astype(np.int64), sketch(own)))
                 np.add.at(slots, (own % np.uint64(SLOTS)).astype(np.int64), 1)
-            none = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), none, none], names=["doc_id", "node", "slot", "n"])
+            cols = list(zip(*rows, strict=True))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), none, none], names=names)
         at = np.flatnonzero(slots)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(at), pa.array(slots[at])], names=["doc_id", "node", "slot", "n"])
+        none = [pa.nulls(len(at), pa.binary() if name == "sketch" else pa.int64()) for name in names[:6]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(slots[at])], names=names)
 
-    return texts.mapInArrow(run, "doc_id long, node long, slot long, n long")
+    return texts.mapInArrow(run, "doc_id long, text_key long, node long, size long, fp long, sketch binary, slot long, n long")
 
 
 def _common(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -112,6 +132,10 @@ def _keyed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity:
     return texts.mapInArrow(run, "key long, node long, n long, place long").distinct()
 
 
+def _sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(-1, SKETCH // 64)
+
+
 def _pairs(similarity: Fraction):
     """For rows sorted by key, x, y: pairs of each group that lie in different components and can overlap enough."""
     p, q = similarity.numerator, similarity.denominator
@@ -123,6 +147,7 @@ def _pairs(similarity: Fraction):
             group = part[["key", "x", "y"]].to_numpy()
             edges = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1), True])
             node, root, n, place, own = (part[c].to_numpy() for c in ("node", "root", "n", "place", "own"))
+            sketches = _sketches(part["sketch"])
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 x, y = group[lo, 1:]
                 s, left = n[lo:hi], n[lo:hi] - place[lo:hi]
@@ -130,8 +155,9 @@ def _pairs(similarity: Fraction):
                 o = own[lo:hi]
                 able &= (np.minimum(o[:, None], o) == x) & (np.maximum(o[:, None], o) == y)
                 a, b = np.nonzero(able)
-                if len(a):
-                    yield pd.DataFrame({"a": node[lo + a], "b": node[lo + b]})
+                near = may_be_near(sketches[lo + a], sketches[lo + b], n[lo + a] + n[lo + b], similarity)
+                if near.any():
+                    yield pd.DataFrame({"a": node[lo + a[near]], "b": node[lo + b[near]]})
 
         for part in parts:
             if rest is not None:
@@ -148,17 +174,25 @@ def _pairs(similarity: Fraction):
     return run
 
 
-def _verified(pairs: DataFrame, least: DataFrame, texts: DataFrame, similarity: Fraction, width: int) -> DataFrame:
-    """Those pairs of nodes (a, b) whose whole sets are as similar."""
-    p, q = similarity.numerator, similarity.denominator
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(least, "node")
+def _pruned(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFrame:
+    """Those pairs of nodes (a, b) whose sketches may be as near."""
 
-    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _few(batches):
-            yield batch.filter(pa.array([node == node_of(shingles(text, width)) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            near = may_be_near(_sketches(batch.column(4).to_pylist()), _sketches(batch.column(5).to_pylist()), sizes, similarity) if batch.num_rows else np.zeros(0, bool)
+            yield batch.filter(pa.array(near)).select(["a", "b"])
+
+    of = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
 
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
-    held = cut(found.mapInArrow(own_text, "node long, text string").dropDuplicates(["node"]), as_table=True)
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: Fraction, width: int) -> DataFrame:
+    """Those pairs of nodes (a, b) whose whole sets are as similar."""
+    p, q = similarity.numerator, similarity.denominator
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "least_id", "least_key"), "node")
+    same = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("text_key") == F.col("least_key"))
+    held = cut(texts.join(wanted, same).select("node", "text").dropDuplicates(["node"]), as_table=True)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
@@ -176,35 +210,56 @@ def _verified(pairs: DataFrame, least: DataFrame, texts: DataFrame, similarity:
     return pairs.join(texts_of("a"), "a").join(texts_of("b"), "b").select("a", "b", "a_text", "b_text").mapInArrow(near, "a long, b long")
 
 
+def _alike(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes (a, b) that fingerprints link: those of one fingerprint through its least node, those within 3 bits through these."""
+    held = cut(nodes.groupBy("fp").agg(F.min("node").alias("of")))
+    links = near_links(held.select("fp"))
+    one, other = (held.select(F.col("fp").alias(name), F.col("of").alias(f"of_{name}")) for name in "ab")
+    across = links.join(one, "a").join(other, "b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    inside = nodes.join(held, "fp").filter("node <> of").select(F.col("of").alias("a"), F.col("node").alias("b"))
+    return across.unionByName(inside).distinct()
+
+
 def near_groups(docs: DataFrame, similarity: Fraction = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id: one row for each row of docs; component_id is the least id of what links of `similarity` or more reach."""
     p, q = similarity.numerator, similarity.denominator
-    texts = id_and_text(docs, id_col, text_col)
-    marked = cut(_nodes(texts, width))
-    least = cut(marked.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id")))
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    marked = cut(_nodes(texts, width), as_table=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    nodes = marked.filter("node is not null").groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("size", "fp", "sketch")))
+    nodes = cut(nodes.select("node", F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("least_key"), "size", "fp", "sketch"), as_table=True)
+    checked = lambda pairs: cut(_verified(cut(_pruned(pairs, nodes, similarity)), nodes, texts, similarity, width))
+
+    links = checked(_alike(nodes))
     keyed = cut(_keyed(texts, _common(marked), similarity, width), as_table=True)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    met = keyed.join(shared, "key").drop("held")
+
+    def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of keys whose nodes have more than one root, with these."""
+        rooted = rows.drop("root").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = rooted.groupBy("key").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "held")
+        return cut(rooted.drop("held").join(open_keys, "key"), as_table=True)
+
+    left = apart(met, links)
     turn = F.xxhash64("node", "key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), *(F.min_by(c, turn).alias(f"star_{c}") for c in ("node", "n", "place"))).filter("size > 1")
-    met = cut(keyed.join(shared, "key"), as_table=True)
+    star = left.groupBy("key").agg(*(F.min_by(c, turn).alias(f"star_{c}") for c in ("node", "n", "place", "root")))
     able = F.least(F.expr("n - place"), F.expr("star_n - star_place")) * (p + q) >= (F.col("n") + F.col("star_n")) * p
-    stars = cut(met.filter("node <> star_node").filter(able).select(F.least("node", "star_node").alias("a"), F.greatest("node", "star_node").alias("b")).distinct())
-    links = cut(_verified(stars, least, texts, similarity, width))
-    found = components(links)
-    rooted = met.join(found, "node", "left").select("key", "node", "n", "place", "size", F.coalesce("root", "node").alias("root"))
+    stars = cut(left.join(star, "key").filter("root <> star_root").filter(able).select(F.least("node", "star_node").alias("a"), F.greatest("node", "star_node").alias("b")).distinct())
+    links = cut(links.unionByName(checked(stars)))
     # Of a key of two the one pair has been tried.
-    rooted = rooted.filter("size > 2")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    apart = rooted.join(open_keys, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    left = apart(left.filter("held > 2"), links)
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    held = left.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(nodes.select("node", "sketch"), "node")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = apart.select("*", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", "n", "place", "own")
+    dealt = held.select("*", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", "n", "place", "own", "sketch")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     rest = cut(dealt.mapInPandas(_pairs(similarity), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_verified(rest, least, texts, similarity, width)))
-    rooted = least.join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    found = components(links.unionByName(_verified(rest, nodes, texts, similarity, width)))
+    rooted = nodes.join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = rooted.join(lowest, "root").select("node", "component_id")
-    return marked.join(component, "node").select("doc_id", "component_id")
+    return marked.filter("node is not null").join(component, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: Fraction = SIMILARITY, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

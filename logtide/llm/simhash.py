@@ -45,15 +45,19 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(LOWER).split()
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half the XXH64 of the shingles; repeated shingles count again."""
+def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included; fewer words than the width are one shingle, no words none."""
     from xxhash import xxh64_intdigest
 
     own = words(text)
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(own[i:] for i in range(width)), strict=False)) if len(own) >= width else [b" ".join(own)]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), COUNTED):
         part = hashes[at : at + COUNTED]
@@ -61,6 +65,10 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long."""
 
