@@ -7,9 +7,13 @@ through is joined with the exact buckets. Duplicates inside the new batch are
 grouped separately, before any join. Every group of two or more rows is then
 checked byte by byte: two texts under one digest stop the query.
 
+Filters and exact buckets of a snapshot can be stored once (`store_snapshot`) and
+later batches screened against them (`known_texts`).
+
 Defined results: a null text is the empty text; a null id never wins against
 another id; rows that repeat id and text are one another's copies, and just the
-first is kept; an empty table gives no rows.
+first is kept; a text of any length moves once, to be checked, if it has a copy;
+other columns may have any name and type; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, id_and_text, whole_text
 
-#: Digests in one bucket's filter, on average.
-BUCKET_KEYS = 40_000
+#: Digests in one bucket's filter, on average, if there are buckets enough for all tasks, and buckets for each task then.
+BUCKET_KEYS, TASK_BUCKETS = 40_000, 4
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -137,19 +141,27 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return incoming.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, schema)
 
 
+def _n_buckets(rows: DataFrame) -> int:
+    return max(TASK_BUCKETS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // BUCKET_KEYS)
+
+
+def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
+    part = rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return part.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def exact_groups(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, digest; groups: digest, keep_id, group_size). snapshot tells the rows that are in the snapshot."""
     flagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"), F.coalesce(snapshot, F.lit(False)).alias("old"))
-    texts = id_and_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    rows = cut(flagged.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), "old"))
-    buckets = max(1, rows.count() // BUCKET_KEYS)
-
-    def grouped(old: bool) -> DataFrame:
-        part = rows.filter(F.col("old") == old).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        return part.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
-
-    held, new = grouped(True), grouped(False)
-    screened = screen(new, build_filters(held))
+    texts = id_and_text(docs, id_col, text_col).withColumn("digest", _digest())
+    rows = cut(flagged.select("doc_id", _digest().alias("digest"), "old"))
+    buckets = _n_buckets(rows)
+    held, new = (_grouped(rows.filter(F.col("old") == old), buckets) for old in (True, False))
+    screened = cut(screen(new, build_filters(held)), as_table=True)
     positive = screened.filter("maybe").drop("maybe", "bucket").select("digest", F.col("keep_id").alias("k2"), F.col("group_size").alias("n2"))
     exact = held.join(positive, "digest", "full").select("digest", F.greatest("keep_id", "k2").alias("keep_id"), (F.coalesce("group_size", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("group_size"))
     groups = cut(screened.filter("not maybe").select("digest", "keep_id", "group_size").unionByName(exact))
@@ -161,6 +173,27 @@ def exact_groups(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text
     return rows.drop("old"), groups.filter("group_size = 1").unionByName(verified)
 
 
+def store_snapshot(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the exact buckets of docs, with one text of each digest, and their filters; a folder is written once."""
+    texts = id_and_text(docs, id_col, text_col).withColumn("digest", _digest())
+    buckets = _n_buckets(texts)
+    groups = texts.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.min("text").alias("text"))
+    groups = groups.select("*", F.pmod(F.xxhash64("digest"), F.lit(buckets)).alias("bucket"), F.lit(buckets).alias("buckets"))
+    groups.write.parquet(f"{folder}/groups")
+    build_filters(docs.sparkSession.read.parquet(f"{folder}/groups")).write.parquet(f"{folder}/filters")
+
+
+def known_texts(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, known_id: the rows of docs whose text a stored snapshot has, by its filters, then its exact buckets, then byte by byte."""
+    groups, filters = (docs.sparkSession.read.parquet(f"{folder}/{name}") for name in ("groups", "filters"))
+    buckets = (groups.agg(F.max("buckets")).first()[0]) or 1
+    texts = id_and_text(docs, id_col, text_col).withColumn("digest", _digest())
+    new = texts.select("digest").distinct().withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+    maybe = screen(new, filters).filter("maybe").select("digest")
+    found = groups.join(maybe, "digest", "left_semi").select("digest", F.col("keep_id").alias("known_id"), F.col("text").alias("known_text"))
+    return texts.join(found, "digest").filter("text = known_text").select("doc_id", "known_id")
+
+
 def older_half(docs: DataFrame, id_col: str = "doc_id") -> Column:
     """The snapshot of one table: ids up to the middle between the least and the largest."""
     least, most = docs.agg(F.min(id_col).cast("long"), F.max(id_col).cast("long")).first()
@@ -185,18 +218,16 @@ def exact_dedup(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_
 def keep_exact(docs: DataFrame, snapshot: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns.
 
-    Rows that repeat id and text are told apart by their place in the physical
-    input only when there are any; the first by the other columns' text stays.
+    Of rows that repeat id and text, the first by its columns as JSON stays.
     """
     decided = exact_dedup(docs, snapshot, id_col, text_col)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_keep_doc"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_keep_sha2", F.sha2(whole_text(text_col), 256))
-    found = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_doc")) & (F.col("_keep_sha2") == F.col("_keep_sha")), "left_semi")
-    repeated = cut(decided.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_keep_doc"), F.col("text_sha256").alias("_keep_sha")))
+    kept = cut(decided.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("kept").select("doc_id", "text_sha256", "n"))
+    # Rows travel as one struct, so that no name of theirs can clash.
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.sha2(whole_text(text_col), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256"))
+    single = marked.join(kept.filter("n = 1"), same, "left_semi").select("row.*")
+    repeated = kept.filter("n > 1")
     if repeated.isEmpty():
-        return found.drop("_keep_sha2")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_keep_doc")) & (F.col("_keep_sha2") == F.col("_keep_sha"))
-    single = found.join(repeated, same, "left_anti").drop("_keep_sha2")
-    twice = found.join(repeated, same, "left_semi")
-    first = twice.groupBy(F.col(id_col), F.col("_keep_sha2")).agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return single.unionByName(first.select("_row.*"))
+        return single
+    twice = marked.join(repeated, same, "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return single.unionByName(twice.select("row.*"))

@@ -45,7 +45,7 @@ BLOCK = 256
 #: Rows whose texts a worker holds at once.
 ROWS = 500
 #: Slots in which shingles are counted, and how far over the mean a common slot is. They order shingles and decide nothing else.
-SLOTS, COMMON = 1 << 18, 4
+SLOTS, COMMON = 1 << 16, 4
 #: Bits of a sketch, and the seed of the hashes.
 SKETCH, SEED = 1024, 42
 

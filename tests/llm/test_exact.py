@@ -45,6 +45,20 @@ def test_keep_exact_keeps_one_row_of_each_text(odd, odd_rows):
     assert len(texts) == len(set(texts)) == len({t or "" for _, t in odd_rows})
 
 
+def test_keep_exact_with_any_columns(odd):
+    clash = odd.withColumn("id", F.create_map(F.lit("a"), F.lit(1))).withColumn("sha", F.lit("x")).withColumn("_keep_doc", F.lit(0))
+    kept = exact.keep_exact(clash, F.lit(False))
+    assert kept.columns == clash.columns and kept.count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
+
+
+def test_stored_snapshot(spark, odd, odd_rows, tmp_path):
+    folder = str(tmp_path / "snapshot")
+    exact.store_snapshot(odd.filter("doc_id < 40"), folder)
+    old = {t or "" for i, t in odd_rows if i is not None and i < 40}
+    got = exact.known_texts(odd, folder).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((i is None, i) for i, t in odd_rows if (t or "") in old)
+
+
 def test_fuse_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 10, 1000, 40_000):
