@@ -38,24 +38,33 @@ def nested(changes: DataFrame, fields: list[str]) -> DataFrame:
     return changes.groupBy("commit_lsn").agg(F.array_sort(F.collect_list(each)).alias("changes"))
 
 
-def carry_last(frames: DataFrame, value: str, out: str, bucket: int = 1 << 16) -> DataFrame:
-    """The last non-null `value` at or before each seq, without a one-task window.
+#: Positions whose rows are one window.
+STRETCH = 1 << 16
+
+
+def carry_last(frames: DataFrame, value: str, out: str, bucket: int = STRETCH, before: bool = False) -> DataFrame:
+    """The last non-null `value` at or before each seq (before it, if `before`), without a one-task window.
 
     Windows run inside buckets of seq; the last value of each bucket is carried
     over the bucket rows, which are few, and joined back.
     """
     dealt = frames.withColumn("_bucket", F.floor(F.col("seq") / bucket))
-    inside = F.last(value, ignorenulls=True).over(W.partitionBy("_bucket").orderBy("seq").rowsBetween(W.unboundedPreceding, 0))
+    inside = F.last(value, ignorenulls=True).over(W.partitionBy("_bucket").orderBy("seq").rowsBetween(W.unboundedPreceding, -1 if before else 0))
     lasts = dealt.groupBy("_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("seq"))).alias("_last"))
-    before = F.last("_last", ignorenulls=True).over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    carried = lasts.select("_bucket", before.alias("_carried"))
+    earlier = F.last("_last", ignorenulls=True).over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
+    carried = lasts.select("_bucket", earlier.alias("_carried"))
     return dealt.withColumn("_inside", inside).join(carried, "_bucket").withColumn(out, F.coalesce("_inside", "_carried")).drop("_bucket", "_inside", "_carried")
 
 
-def relation_in_force(frames: DataFrame, relations: DataFrame) -> DataFrame:
-    """Each frame with the relation version announced last before it: equal relid, seq within the version's interval."""
+def relation_in_force(frames: DataFrame, relations: DataFrame, broadcast_versions: int = 0) -> DataFrame:
+    """Each frame with the relation version announced last before it: equal relid, seq within the version's interval.
+
+    Versions are sent to all tasks if they are counted and no more than `broadcast_versions`, so that the frames of a hot table need not meet.
+    """
     until = F.lead("seq").over(W.partitionBy("relid").orderBy("seq"))
     held = relations.withColumn("_until", until).withColumnRenamed("seq", "_from")
+    if broadcast_versions and relations.count() <= broadcast_versions:
+        held = F.broadcast(held)
     frame = frames.alias("f")
     return frame.join(held.alias("r"), (F.col("f.relid") == F.col("r.relid")) & (F.col("f.seq") >= F.col("r._from")) & (F.col("r._until").isNull() | (F.col("f.seq") < F.col("r._until"))), "left").drop(F.col("r.relid"))
 

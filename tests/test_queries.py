@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from logtide import catalogue
+from logtide import catalogue, framed  # noqa: F401  framed registers its queries
 
 from .harness import compare, connection
 
