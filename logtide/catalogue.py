@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Callable, Iterator
 
@@ -512,9 +513,11 @@ def keyset_chunks(spark, sf_dir):
     return own.select(F.col("chunk").cast("long").alias("chunk"), "n_rows", F.col("first.o_orderkey").alias("first_key"), F.col("last.o_orderkey").alias("last_key"))
 
 
-@registered("SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (100, 1) ORDER BY conv_id, turn LIMIT 500")
+@registered("SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > ((SELECT (min(conv_id) + max(conv_id)) // 2 FROM conversations), 1) ORDER BY conv_id, turn LIMIT 500")
 def keyset_page_composite(spark, sf_dir):
-    return snapshot.page(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], 500, (100, 1)).select("conv_id", "turn", "role")
+    rows = table(spark, sf_dir, "conversations")
+    low, high = rows.agg(F.min("conv_id"), F.max("conv_id")).first()
+    return snapshot.page(rows, ["conv_id", "turn"], 500, ((low + high) // 2, 1)).select("conv_id", "turn", "role")
 
 
 @registered("SELECT n_nationkey // 5 AS chunk, count(*) AS n_rows FROM nation GROUP BY 1 UNION ALL SELECT count(*) // 5, 0 FROM nation HAVING count(*) % 5 = 0")
@@ -606,31 +609,49 @@ def idle_ack(spark, sf_dir):
     return spark.createDataFrame(rows, "sink string, position int")
 
 
-_SLOTS = [(180000, "reserved", False, None, "ok"), (170000, "lost", False, "wal_removed", "wal_removed"), (170000, "lost", True, "idle_timeout", "idle_timeout"), (170000, "lost", True, "new_reason", "other"), (160000, "reserved", True, None, "conflict"), (140000, "lost", False, None, "wal_removed"), (120000, "lost", False, None, "ok"), (150000, "extended", True, None, "ok")]
+_SLOT_AXES = {"version": [120000, 150000, 160000, 170000], "wal_status": ["lost", "reserved", "extended"], "conflicting": [True, False, None], "reason": ["wal_removed", "rows_removed", "wal_level_insufficient", "idle_timeout", "", None]}
+_SLOT_SQL = """SELECT version, wal_status, conflicting, reason,
+  CASE wal_status WHEN 'lost' THEN 'wal_lost' ELSE
+    CASE WHEN version < 160000 THEN 'ok' WHEN conflicting THEN 'conflict' WHEN version < 170000 OR reason IS NULL OR reason = '' THEN 'ok'
+      WHEN reason = 'wal_removed' THEN 'wal_lost' WHEN reason = 'rows_removed' OR reason = 'wal_level_insufficient' THEN reason ELSE 'invalidated' END END AS status
+FROM (SELECT unnest([120000, 150000, 160000, 170000]) AS version) a, (SELECT unnest(['lost', 'reserved', 'extended']) AS wal_status) b,
+  (SELECT unnest([true, false, NULL]) AS conflicting) c, (SELECT unnest(['wal_removed', 'rows_removed', 'wal_level_insufficient', 'idle_timeout', '', NULL]) AS reason) d"""
 
 
-@registered("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{row[4]}')" for i, row in enumerate(_SLOTS)) + ") t(id, status)")
-def slot_status_classify(spark, sf_dir):
-    own = spark.createDataFrame([(i, *row[:4]) for i, row in enumerate(_SLOTS)], "id int, version int, wal_status string, conflicting boolean, reason string")
-    return own.select("id", connect.slot_status(F.col("version"), F.col("wal_status"), F.col("conflicting"), F.col("reason")).alias("status"))
+def _axes(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
+    """All combinations of a few constants."""
+    kinds = {bool: "boolean", int: "int", str: "string"}
+    return spark.createDataFrame(list(itertools.product(*axes.values())), ", ".join(f"{name} {kinds[type(values[0])]}" for name, values in axes.items()))
 
 
-_AXES = {"slot": ["unpromoted", "invalidated", "absent", "present"], "checkpoint": ["present", "empty", "fault"], "mode": ["none", "snapshot", "incremental"], "stage": ["none", "pending", "in_flight", "complete", "fault"]}
+@registered(_SLOT_SQL)
+def slot_status_classify(spark, sf_dir):
+    return _axes(spark, _SLOT_AXES).withColumn("status", connect.slot_status(*(F.col(n) for n in _SLOT_AXES)))
 
 
-def _axes_sql() -> str:
-    froms = ", ".join(f"(SELECT unnest({values}) AS {name}) {name}_" for name, values in _AXES.items())
-    cases = " ".join("WHEN " + " AND ".join([f"{n} = '{v}'" for n, v in zip(_AXES, row[:4], strict=True) if v != "*"]) + f" THEN '{row[4]}'" for row in connect.DECISIONS)
-    return f"SELECT slot, checkpoint, mode, stage, CASE {cases} END AS decision FROM {froms}"
+_AXES = {"slot": ["unpromoted", "invalidated", "absent", "present"], "checkpoint": ["present", "empty", "fault"], "mode": ["none", "snapshot", "incremental"], "stage": ["none", "pending", "in_flight", "complete", "fault"]}
 
 
-@registered(_axes_sql())
+_CONNECT_SQL = """SELECT slot, checkpoint, mode, stage, CASE slot
+  WHEN 'unpromoted' THEN 'halt:slot_synced_unpromoted'
+  WHEN 'invalidated' THEN 'halt:slot_invalidated'
+  WHEN 'absent' THEN CASE checkpoint
+    WHEN 'present' THEN 'halt:data_gap'
+    WHEN 'fault' THEN CASE WHEN mode = 'snapshot' THEN 'halt:checkpoint_unreadable' ELSE 'halt:data_gap' END
+    ELSE CASE mode WHEN 'none' THEN 'create_slot' WHEN 'snapshot' THEN 'create_exporting_slot'
+      ELSE CASE WHEN stage IN ('in_flight', 'complete') THEN 'halt:data_gap' WHEN stage = 'fault' THEN 'halt:progress_invalid' ELSE 'create_slot_and_backfill' END END END
+  ELSE CASE mode
+    WHEN 'incremental' THEN CASE stage WHEN 'complete' THEN 'stream' WHEN 'in_flight' THEN 'resume_backfill' WHEN 'pending' THEN 'restart_backfill'
+      WHEN 'fault' THEN 'halt:progress_invalid' ELSE CASE WHEN checkpoint = 'present' THEN 'stream' ELSE 'halt:snapshot_incomplete' END END
+    WHEN 'snapshot' THEN CASE checkpoint WHEN 'fault' THEN 'halt:checkpoint_unreadable' WHEN 'empty' THEN 'halt:snapshot_incomplete' ELSE 'stream' END
+    ELSE 'stream' END END AS decision
+FROM (SELECT unnest(['unpromoted', 'invalidated', 'absent', 'present']) AS slot) a, (SELECT unnest(['present', 'empty', 'fault']) AS checkpoint) b,
+  (SELECT unnest(['none', 'snapshot', 'incremental']) AS mode) c, (SELECT unnest(['none', 'pending', 'in_flight', 'complete', 'fault']) AS stage) d"""
+
+
+@registered(_CONNECT_SQL)
 def connect_decision(spark, sf_dir):
-    own = None
-    for name, values in _AXES.items():
-        axis = spark.createDataFrame([(v,) for v in values], f"{name} string")
-        own = axis if own is None else own.join(F.broadcast(axis), how="cross")
-    return own.withColumn("decision", connect.decision(*(F.col(n) for n in _AXES)))
+    return _axes(spark, _AXES).withColumn("decision", connect.decision(*(F.col(n) for n in _AXES)))
 
 
 @registered("SELECT * FROM (VALUES (0, 'halt'), (1, 'retry'), (2, 'retry'), (3, 'halt')) t(id, decision)")

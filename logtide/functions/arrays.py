@@ -72,6 +72,11 @@ def array_json(literal: Column) -> Column:
     return F.pandas_udf(_as_json, "string")(literal)
 
 
+def brace_depth(literal: Column) -> Column:
+    """The dimensions of a literal by its opening braces; null where it does not begin with one."""
+    return F.nullif(F.length(F.regexp_extract(literal, r"\A\{*", 0)), F.lit(0))
+
+
 def flat_array(literal: Column, kind: str) -> Column:
     """ARRAY<kind> of a flat unquoted literal, in the JVM alone; null elsewhere."""
     flat = literal.rlike(r'\A\{[^{}",\\]+(?:,[^{}",\\]+)*\}\z')

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import nested_array
+from .arrays import brace_depth, nested_array
 
 # Fixed values of the server's catalog: object ids of types.
 OIDS = {
@@ -61,13 +61,14 @@ def _stop() -> Column:
 
 
 def cast_expr(text: Column, kind: str, modifier: int | None = None) -> Column:
-    """The typed value of a column's text. Null text is null; a lenient failure is null too."""
+    """The typed value of a column's text. Null text is null; a lenient failure is null too.
+
+    An array type is a name with _ before it, and :2 and so on behind it for more
+    than one dimension. A literal of other dimensions is no failure, but null.
+    """
     if kind.startswith("_"):
-        elements = nested_array(text, "string", 1)
-        typed = F.transform(elements, lambda e: cast_expr(e, kind[1:]))
-        nulls = lambda values: F.size(F.filter(values, lambda e: e.isNull()))
-        lenient = F.when(nulls(typed) == nulls(elements), typed)
-        return F.when(text.isNotNull() & elements.isNull(), _stop().cast(typed_name(kind))).otherwise(typed) if kind in STRICT else lenient
+        name, _, depth = kind.partition(":")
+        return _array(text, name, int(depth or 1))
     if kind == "bool":
         return F.when(text.isin("t", "true"), True).when(text.isin("f", "false"), False)
     if kind in ("int2", "int4", "int8"):
@@ -97,10 +98,29 @@ def cast_expr(text: Column, kind: str, modifier: int | None = None) -> Column:
     return text
 
 
+def _array(text: Column, kind: str, depth: int) -> Column:
+    elements = F.when(brace_depth(text) == depth, nested_array(text, "string", depth))
+
+    def typed(values: Column, level: int) -> Column:
+        return F.transform(values, lambda v: typed(v, level - 1)) if level else cast_expr(values, kind[1:])
+
+    def lost(values: Column, own: Column, level: int) -> Column:
+        """Whether a text has no value."""
+        return F.exists(F.arrays_zip(values.alias("t"), own.alias("v")), lambda p: lost(p["t"], p["v"], level - 1)) if level else values.isNotNull() & own.isNull()
+
+    out = typed(elements, depth)
+    if kind in STRICT:
+        broken = text.isNotNull() & brace_depth(text).isNull()
+        return F.when(broken | ((brace_depth(text) == depth) & elements.isNull()), _stop().cast(typed_name(f"{kind}:{depth}"))).otherwise(out)
+    return F.when(~lost(elements, out, depth), out)
+
+
 def typed_name(kind: str) -> str:
     """The Spark type of a type name."""
     if kind.startswith("_"):
-        return f"array<{_ELEMENTS.get(kind[1:], 'string')}>"
+        name, _, depth = kind.partition(":")
+        element = "binary" if name == "_bytea" else _ELEMENTS.get(name[1:], "string")
+        return "array<" * int(depth or 1) + element + ">" * int(depth or 1)
     if kind in ("json", "jsonb"):
         return "variant"
     return {"bool": "boolean", "bytea": "binary"}.get(kind, _ELEMENTS.get(kind, "string"))

@@ -20,14 +20,15 @@ def split_key_changes(changes: DataFrame, key: str, old_key: str, place: str = "
     return changes.unionByName(gone)
 
 
-def replay(changes: DataFrame, keys: Sequence[str], values: Sequence[str], unchanged: str | None = None, place: str = "_place", truncated: DataFrame | None = None) -> DataFrame:
+def replay(changes: DataFrame, keys: Sequence[str], values: Sequence[str], unchanged: str | None = None, place: str = "_place", truncated: DataFrame | None = None, gone: str | None = None) -> DataFrame:
     """Keys and values of the rows that are there after all changes, last write first.
 
     changes: op (insert, update, delete), keys, values and place. `unchanged`
     names an array of columns that an update did not send. A delete or insert
     starts a row anew, so a value that was sent before the last of them is gone.
-    One aggregation with partial sums: no window, no sort of a hot key.
-    truncated: one row with the last place at which the table was emptied.
+    One aggregation with partial sums: no window, and a hot key is one row a task
+    after the partial step. truncated: places at which the table was emptied.
+    gone: a name under which deleted keys are returned too, as a flag.
     """
     if truncated is not None:
         changes = changes.join(F.broadcast(truncated.select(F.max(place).alias("_emptied"))), how="cross").filter(F.col("_emptied").isNull() | (F.col(place) > F.col("_emptied")))
@@ -40,7 +41,9 @@ def replay(changes: DataFrame, keys: Sequence[str], values: Sequence[str], uncha
         *(F.max_by(F.struct(F.col(v).alias("v"), where.alias("p")), F.when(sent(v), where)).alias(v) for v in values),
     )
     held = lambda v: F.when(F.col("_reset").isNull() | (F.col(f"{v}.p") >= F.col("_reset")), F.col(f"{v}.v"))
-    return last.filter("_op <> 'delete'").select(*keys, *(held(v).alias(v) for v in values))
+    deleted = F.col("_op") == "delete"
+    own = [*keys, *(held(v).alias(v) for v in values)]
+    return last.select(*own, deleted.alias(gone)) if gone else last.filter(~deleted).select(*own)
 
 
 def merge_mirror(mirror: DataFrame, changes: DataFrame, keys: Sequence[str], values: Sequence[str], unchanged: str | None = None, place: str = "_place") -> DataFrame:

@@ -121,12 +121,19 @@ def assemble(messages: DataFrame, halting: DataFrame | None = None) -> Assembled
     first = halts.agg(F.min("seq").alias("_halt"))
     until = lambda df, at: df.join(F.broadcast(first), how="cross").filter(F.col("_halt").isNull() | (F.col(at) < F.col("_halt"))).drop("_halt")  # noqa: E731  one row
 
+    names = F.transform("columns", lambda c: c["name"])
+    if "new_values" in messages.columns:  # a format that names its values
+        new, old = F.col("new_values"), F.col("old_values")
+        same = F.forall(F.map_entries(old), lambda e: F.try_element_at(new, e["key"]).eqNullSafe(e["value"]))
+        record, old_record = new, F.when((F.col("replica_identity") == "all_columns") | new.isNull() | ~same, old)
+        unsent = F.when(F.col("kind") == "update", F.array_except(names, F.map_keys(new)))
+    else:
+        record, unsent = records.record(F.col("columns"), F.col("new_tuple")), records.unchanged(F.col("columns"), F.col("new_tuple"))
+        old_record = records.old_record(F.col("columns"), F.col("old_tuple"), F.col("old_kind"))
     live = until(known.filter("committed"), "end_seq").join(gone, ["txn", "subxid"], "left_anti")
     changes = live.select(
         "commit_lsn", "ordinal", "xid", "subxid", F.col("kind").alias("op"), "namespace", "name", "relid", "columns",
-        records.record(F.col("columns"), F.col("new_tuple")).alias("record"),
-        records.old_record(F.col("columns"), F.col("old_tuple"), F.col("old_kind")).alias("old_record"),
-        F.coalesce(records.unchanged(F.col("columns"), F.col("new_tuple")), F.array().cast("array<string>")).alias("unchanged"),
+        record.alias("record"), old_record.alias("old_record"), F.coalesce(unsent, F.array().cast("array<string>")).alias("unchanged"),
         "ts_us", "seq",
     )
     told = until(items.filter(is_message & F.col("committed")), "end_seq").select("commit_lsn", "ordinal", "xid", "subxid", "lsn", "prefix", "content", "seq")

@@ -46,13 +46,40 @@ def decision(slot: Column, checkpoint: Column, mode: Column, stage: Column) -> C
     return out
 
 
+#: What the server gives as the reason of an invalidation, and the class it stands for. Any other reason is `invalidated`.
+REASONS = {"wal_removed": "wal_lost", "rows_removed": "rows_removed", "wal_level_insufficient": "wal_level_insufficient"}
+
+
 def slot_status(version: Column, wal_status: Column, conflicting: Column, reason: Column) -> Column:
-    """ok or a class of invalidation, by what each server version tells."""
-    lost = F.when(wal_status == "lost", "wal_removed")
-    named = F.when(reason == "wal_removed", "wal_removed").when(reason.isin("rows_removed", "wal_level_insufficient", "idle_timeout"), reason).when(reason.isNotNull(), "other")
-    return F.coalesce(F.when(version >= 170000, named), F.when((version >= 160000) & conflicting, "conflict"), F.when(version >= 130000, lost), F.lit("ok"))
+    """ok or a class of invalidation. Lost log comes first, then a conflict, then a reason; older servers tell less."""
+    named = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), reason), F.lit("invalidated"))
+    return (
+        F.when(wal_status == "lost", "wal_lost")
+        .when((version >= 160000) & F.coalesce(conflicting, F.lit(False)), "conflict")
+        .when((version >= 170000) & (F.coalesce(reason, F.lit("")) != ""), named)
+        .otherwise("ok")
+    )
 
 
 def retry(permanent: bool, attempts: int, limit: int) -> str:
     """What a failed store call leads to."""
     return "halt" if permanent or attempts > limit else "retry"
+
+
+class Watchdog:
+    """Counts command errors in a row; any frame clears them. Past the limit the pipeline halts."""
+
+    def __init__(self, limit: int):
+        self.limit, self.errors = limit, 0
+
+    def error(self) -> str:
+        self.errors += 1
+        return "halt:command_error" if self.errors > self.limit else "reconnect"
+
+    def frame(self) -> None:
+        self.errors = 0
+
+
+def origin(checkpoint: int | None, confirmed_flush: int | None) -> int | None:
+    """Where an append sink's log begins: the later of its checkpoint and what the slot has confirmed."""
+    return max((x for x in (checkpoint, confirmed_flush) if x is not None), default=None)

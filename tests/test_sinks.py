@@ -60,6 +60,35 @@ def test_snapshot_rows_never_beat_streamed_ones(spark, tmp_path):
     assert sink.checkpoint() == 10
 
 
+def test_no_chunk_brings_a_deleted_row_back(spark, tmp_path):
+    sink = StateMirror(spark, str(tmp_path / "d"), ["pk"], ["value", "note"], buckets=4)
+    chunk = lambda *rows: spark.createDataFrame(rows, "pk long, value string, note string")
+    sink.handle_batch(changes(spark, LOG))
+    sink.handle_snapshot(chunk((2, "old", "old"), (7, "snap", "z")), "token", lsn=5)
+    assert state(sink) == [(1, "c", "x"), (3, "d", None), (7, "snap", "z")]
+    assert sorted((r["pk"], r["_origin"], r["_lsn"]) for r in sink.rows(True).collect()) == [(1, "stream", 20), (3, "stream", 30), (7, "snapshot", 5)]
+    sink.handle_batch(changes(spark, [("truncate", None, None, None, [], 40, 0), ("insert", 8, "e", "f", [], 40, 1)]))
+    sink.handle_snapshot(chunk((9, "old", "old")), "token2", lsn=35)
+    assert state(sink) == [(8, "e", "f")] and sink.snapshot_progress() == "token2"
+    sink.handle_snapshot(chunk((10, "new", "g")), "token3", lsn=41)
+    sink.reset()
+    assert state(sink) == [(8, "e", "f")]
+    sink.handle_snapshot_complete(41)
+    sink.handle_batch(changes(spark, [("delete", 8, None, None, [], 50, 0)]))
+    assert state(sink) == [] and sink.checkpoint() == 50
+
+
+def test_log_of_many_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(AppendLog, "EVERY", 3)
+    sink = AppendLog(spark, str(tmp_path / "many"))
+    for n in range(1, 8):
+        sink.handle_batch(changes(spark, [("insert", n, "a", "b", [], n * 10, 0)]))
+    assert sorted(r["pk"] for r in sink.rows().collect()) == list(range(1, 8))
+    for _ in range(2):
+        sink.handle_messages(spark.createDataFrame([(5, "p", bytearray(b"c"))], "lsn long, prefix string, content binary"))
+    assert sink.messages().count() == 1
+
+
 def test_two_writers_conflict(spark, tmp_path):
     sink = AppendLog(spark, str(tmp_path / "c"))
     before = sink.manifest.read()
