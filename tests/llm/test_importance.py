@@ -36,6 +36,34 @@ def test_held_out_accuracy(spark, odd_rows):
     assert {r["doc_id"] for r in stay.collect()} == {i for i, _ in rows if kept[i]}
 
 
+def test_noise_draws_in_proportion():
+    weights = np.array([1.0, 2.0, 5.0])
+    wins = np.zeros(3)
+    for seed in range(20_000):
+        wins[np.argmax(np.log(weights) + importance.gumbel(np.arange(3), seed))] += 1
+    assert np.allclose(wins / wins.sum(), weights / weights.sum(), atol=0.015)
+
+
+def test_the_draw_follows_seed_and_weights(spark):
+    rng = random.Random(3)
+    one = [rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(20)]
+    other = [w.upper() for w in one]
+    rows = [(i, " ".join(rng.choice(one if rng.random() < 0.3 + 0.4 * (i % 10) / 9 else other) for _ in range(6))) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 10 > 4), 0) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    docs = make(spark, rows).cache()
+    drawn, weight = [], {}
+    for seed in (1, 2, 3):
+        got = importance.select(docs, labels, buckets=512, seed=seed, k=150).collect()
+        drawn.append({r["doc_id"] for r in got if r["kept"]})
+        weight = {r["doc_id"]: r["relative_log_weight"] for r in got}
+    assert drawn[0] != drawn[1] != drawn[2] and all(len(d) >= 150 for d in drawn)
+    order = sorted(weight, key=weight.get)
+    rate = [sum(i in d for d in drawn for i in order[part * 100 : part * 100 + 100]) for part in range(4)]
+    assert rate == sorted(rate) and rate[0] < rate[3] // 2
+    plain = {r["doc_id"] for r in importance.select(docs, labels, buckets=512, temperature=0.0, k=150).collect() if r["kept"]}
+    assert plain >= set(order[-150:]) - {i for i in order if weight[i] == weight[order[-150]]}
+
+
 def test_without_labels_and_empty(spark, odd, odd_rows, empty):
     labels = spark.createDataFrame([(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     assert importance.select(odd, labels).count() == len(odd_rows)
