@@ -99,7 +99,7 @@ def assemble(messages: DataFrame, halting: DataFrame | None = None) -> Assembled
     each = owned.filter(F.col("kind").isin(*CHANGES) | is_message).withColumn("weight", weight).withColumn("from_seq", F.col("_open.seq")).drop("xid", "ts_us", "_owner", "_open")
     items = _numbered(each.filter("from_seq is not null").join(spans, "from_seq"))
 
-    # Sub-transactions that were aborted; their messages stay
+    # Sub-transactions that were aborted, with their messages
     part = boundaries.filter("kind = 'stream_abort' and xid <> subxid")
     part = part.select("seq", "xid", "subxid").join(streams.filter("kind = 'stream_start'").select("xid", F.col("seq").alias("_from"), "first_seq", F.coalesce("end_seq", F.lit((1 << 63) - 1)).alias("_until")), "xid").filter("seq > _from and seq < _until")
     gone = part.select(F.col("first_seq").alias("txn"), "subxid").distinct()
@@ -136,7 +136,7 @@ def assemble(messages: DataFrame, halting: DataFrame | None = None) -> Assembled
         record.alias("record"), old_record.alias("old_record"), F.coalesce(unsent, F.array().cast("array<string>")).alias("unchanged"),
         "ts_us", "seq",
     )
-    told = until(items.filter(is_message & F.col("committed")), "end_seq").select("commit_lsn", "ordinal", "xid", "subxid", "lsn", "prefix", "content", "seq")
+    told = until(items.filter(is_message & F.col("committed")), "end_seq").join(gone, ["txn", "subxid"], "left_anti").select("commit_lsn", "ordinal", "xid", "subxid", "lsn", "prefix", "content", "seq")
     counts = changes.select("commit_lsn", F.lit(1).alias("c"), F.lit(0).alias("m")).unionByName(told.select("commit_lsn", F.lit(0).alias("c"), F.lit(1).alias("m"))).groupBy("commit_lsn").agg(F.sum("c").alias("n_changes"), F.sum("m").alias("n_messages"))
     ended = until(spans.filter("committed"), "end_seq").groupBy("txn").agg(F.first("commit_lsn").alias("commit_lsn"), F.first("xid").alias("xid"), F.first("streamed").alias("streamed"), F.first("ts_us").alias("ts_us"), F.max("end_seq").alias("seq"))
     transactions = ended.join(counts, "commit_lsn", "left").select("commit_lsn", "xid", "streamed", "ts_us", F.coalesce("n_changes", F.lit(0)).alias("n_changes"), F.coalesce("n_messages", F.lit(0)).alias("n_messages"), "seq")

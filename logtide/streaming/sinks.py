@@ -57,9 +57,7 @@ class Manifest:
 
 
 class Sink:
-    """What a sink may leave out: a kind that is not known counts as an append log, a destructive change halts, any server is accepted."""
-
-    kind = "append_log"
+    """What a sink may leave out: a destructive change halts, any server and origin is accepted."""
 
     def handle_schema_change(self, change: dict[str, Any]) -> str:
         return "halt"
@@ -67,13 +65,13 @@ class Sink:
     def handle_identity(self, identity: dict[str, Any]) -> bool:
         return True
 
-    def handle_origin(self, lsn: int | None) -> None:
-        return None
+    def handle_origin(self, lsn: int | None) -> bool:
+        return True
 
 
 def kind_of(sink: Any) -> str:
-    kind = getattr(sink, "kind", None)
-    return kind if kind in ("state_mirror", "append_log") else "append_log"
+    """A kind that is not known counts as a state mirror."""
+    return "append_log" if getattr(sink, "kind", None) == "append_log" else "state_mirror"
 
 
 class StateMirror(Sink):
@@ -184,6 +182,7 @@ class AppendLog(Sink):
     A manifest names its own folder; each `EVERY`-th names all, so that few are read.
     """
 
+    kind = "append_log"
     EVERY = 64
 
     def __init__(self, spark: SparkSession, folder: str):
