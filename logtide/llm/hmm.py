@@ -2,16 +2,23 @@
 
 Baum-Welch: every task runs scaled forward and backward recursions over its
 texts and hands on expected counts, which are summed across tasks by symbol.
-The head of the vocabulary has its own emissions in each state. A rarer word is
-the symbol TAIL times its share of the tail, from exact counts over all
-training texts, so that the model is a distribution over all words, unseen ones
-included. The scaled forward recursion then gives the exact likelihood of each
-whole text. Training cuts texts into stretches of `STRETCH` words; scoring cuts
+The most frequent words have emissions of their own in each state; a rarer word
+is one of its class, by hash, times its share of the class from exact counts
+over all training texts, so that the model is a distribution over all words,
+unseen ones included. The numbers of head words and of classes both grow with
+the square root of the vocabulary. The scaled forward recursion then gives the
+exact likelihood of each whole text.
+
+Training takes texts in windows of `STRETCH` words with `MARGIN` words of context
+on either side: each symbol and each transition is counted once, in one window,
+and starts are counted at starts of texts alone. Only what lies beyond the margin
+is forgotten; a window inside a text begins from the steady state. Scoring cuts
 nothing.
 
 Defined results: a null text is the empty text, its one token the end; a null
 id counts as the empty string when rows are split, and is held out; repeated
-rows have equal results; an empty table gives no rows.
+rows have equal results; other columns don't matter; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text, runs
 from .simhash import words
 
-STATES, ROUNDS, HEAD, STRETCH, LANES = 8, 4, 20_000, 128, 1024
+STATES, ROUNDS, STRETCH, MARGIN, LANES = 8, 4, 128, 8, 1024
+#: Head words, and classes of the others, for each square root of the number of distinct words.
+GROWTH = 16
 SMOOTH = 0.1
 #: Steps of the forward recursion between two scalings: no probability of a symbol is so low that so many of them underflow.
 RESCALE = 8
@@ -40,25 +50,34 @@ SCORED = 1_000_000
 
 @dataclass
 class Model:
-    index: dict[bytes, int]  # head word -> symbol; TAIL and END follow
+    index: dict[bytes, int]  # head word -> symbol; classes and the end follow
     start: np.ndarray  # (states)
     move: np.ndarray  # (states, states)
     emit: np.ndarray  # (symbols, states)
+    classes: int = 1
 
     @property
-    def tail(self) -> int:
+    def head(self) -> int:
         return len(self.index)
 
     @property
     def end(self) -> int:
-        return len(self.index) + 1
+        return len(self.index) + self.classes
 
     def symbols(self, own: list[bytes]) -> np.ndarray:
-        tail = self.tail
-        get = self.index.get
-        out = np.fromiter((get(w, tail) for w in own), np.int32, len(own) + 0)
+        get, head, classes = self.index.get, self.head, self.classes
+        out = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
+        for at in np.flatnonzero(out < 0).tolist():
+            out[at] = head + crc32(own[at]) % classes
         return np.append(out, np.int32(self.end))
 
+    def steady(self) -> np.ndarray:
+        """The distribution over states far from a start."""
+        out = self.start.astype(np.float64)
+        for _ in range(64):
+            out = out @ self.move
+        return (out / out.sum()).astype(np.float32)
+
 
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 10 == 0
@@ -84,21 +103,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def expected_counts(model: Model, lanes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of stretches: lanes (time, stretch) of symbols, ends: their lengths, longest first."""
+def expected_counts(model: Model, lanes: np.ndarray, ends: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of windows: lanes (time, window) of symbols, ends: their lengths, longest first. What is in [low, high) is counted; low 0 is a start of a text."""
     steps, n = lanes.shape
+    low, high = np.zeros(n, np.int64) if low is None else low, ends if high is None else high
     states = len(model.start)
+    first = np.where((low == 0)[:, None], model.start, model.steady())
+    counted = (np.arange(steps)[:, None] >= low) & (np.arange(steps)[:, None] < high)
     alpha = np.zeros((steps, n, states), np.float32)
     seen = model.emit[lanes]
-    live = [int(np.searchsorted(-ends, -t)) for t in range(steps)]  # stretches longer than t
+    live = [int(np.searchsorted(-ends, -t)) for t in range(steps)]  # windows longer than t
     log10 = 0.0
     scale = np.ones((steps, n), np.float32)
     for t in range(steps):
         k = live[t]
-        now = (model.start if t == 0 else alpha[t - 1, :k] @ model.move) * seen[t, :k]
+        now = (first if t == 0 else alpha[t - 1, :k] @ model.move) * seen[t, :k]
         scale[t, :k] = now.sum(1)
         alpha[t, :k] = now / scale[t, :k, None]
-        log10 += float(np.log10(scale[t, :k]).sum())
+        log10 += float(np.log10(scale[t, :k]) @ counted[t, :k])
     beta = np.ones((n, states), np.float32)
     gamma = np.zeros_like(alpha)
     move = np.zeros((states, states))
@@ -107,32 +129,33 @@ def expected_counts(model: Model, lanes: np.ndarray, ends: np.ndarray) -> tuple[
     for t in range(steps - 2, -1, -1):
         k = live[t + 1]
         back = seen[t + 1, :k] * beta[:k] / scale[t + 1, :k, None]
-        move += alpha[t, :k].T @ back
+        move += alpha[t, :k].T @ (back * counted[t + 1, :k, None])
         beta[:k] = back @ model.move.T
         own = live[t]
         gamma[t, :own] = alpha[t, :own] * beta[:own]
-    mask = np.arange(steps)[:, None] < ends[None, :]
-    flat, weight = lanes[mask], gamma[mask]
+    flat, weight = lanes[counted], gamma[counted]
     emit = np.stack([np.bincount(flat, weights=weight[:, s], minlength=len(model.emit)) for s in range(states)], 1)
-    return gamma[0, : live[0]].sum(0, dtype=np.float64), move * model.move, emit, log10
+    return gamma[0, low == 0].sum(0, dtype=np.float64), move * model.move, emit, log10
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held: list[np.ndarray] = []
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lanes, ends, low, high) of many windows at once."""
+    held: list[tuple[np.ndarray, int, int]] = []
 
-    def lanes() -> tuple[np.ndarray, np.ndarray]:
-        own = sorted(held, key=len, reverse=True)
-        ends = np.array([len(s) for s in own])
+    def lanes() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        own = sorted(held, key=lambda w: -len(w[0]))
+        ends = np.array([len(s) for s, _, _ in own])
         out = np.zeros((ends[0], len(own)), np.int32)
-        for i, s in enumerate(own):
+        for i, (s, _, _) in enumerate(own):
             out[: len(s), i] = s
-        return out, ends
+        return out, ends, np.array([a for _, a, _ in own]), np.array([b for _, _, b in own])
 
     for batch in batches:
         for data in batch.column(0).to_pylist():
             symbols = np.frombuffer(data, np.int32)
             for at in range(0, len(symbols), STRETCH):
-                held.append(symbols[at : at + STRETCH])
+                begin, until = max(0, at - MARGIN), min(len(symbols), at + STRETCH)
+                held.append((symbols[begin : until + MARGIN], at - begin, until - begin))
                 if len(held) == LANES:
                     yield lanes()
                     held = []
@@ -159,8 +182,8 @@ def train_round(texts: DataFrame, model: Model, symbols: DataFrame | None = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit, log10 = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape), 0.0
-        for lanes, ends in _stretches(batches):
-            a, b, c, d = expected_counts(model, lanes, ends)
+        for window in _stretches(batches):
+            a, b, c, d = expected_counts(model, *window)
             start, move, emit, log10 = start + a, move + b, emit + c, log10 + d
         all_rows = np.concatenate([emit, move, start[None], np.r_[log10, np.zeros(states - 1)][None]])
         at = np.flatnonzero(all_rows.any(1))
@@ -174,26 +197,27 @@ def train_round(texts: DataFrame, model: Model, symbols: DataFrame | None = None
     return total[n + states], total[n : n + states], total[:n], float(total[n + states + 1, 0])
 
 
-def first_model(head: list[tuple[bytes, int]], tail_n: int, end_n: int, states: int) -> tuple[Model, np.ndarray]:
+def first_model(head: list[tuple[bytes, int]], class_n: list[int], end_n: int, states: int) -> tuple[Model, np.ndarray]:
     """Word frequencies, disturbed by a hash in each state, and states that tend to stay."""
     from xxhash import xxh64_intdigest
 
-    share = np.array([n for _, n in head] + [tail_n, end_n], np.float64) + SMOOTH
+    share = np.array([n for _, n in head] + [*class_n, end_n], np.float64) + SMOOTH
     share /= share.sum()
-    noise = np.array([[xxh64_intdigest(w, s) / 2**64 for s in range(states)] for w, _ in head] + [[0.5] * states] * 2)
+    names = [w for w, _ in head] + [b" %d" % i for i in range(len(class_n))]  # no word holds a blank
+    noise = np.array([[xxh64_intdigest(w, s) / 2**64 for s in range(states)] for w in names] + [[0.5] * states])
     emit = share[:, None] * np.exp(2 * noise)
     move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1) if states > 1 else 1.0)
     index = {w: i for i, (w, _) in enumerate(head)}
-    return Model(index, np.full(states, 1 / states, np.float32), (move / move.sum(1, keepdims=True)).astype(np.float32), (emit / emit.sum(0)).astype(np.float32)), share
+    return Model(index, np.full(states, 1 / states, np.float32), (move / move.sum(1, keepdims=True)).astype(np.float32), (emit / emit.sum(0)).astype(np.float32), len(class_n)), share
 
 
-def train(texts: DataFrame, head: list[tuple[bytes, int]], tail_n: int, end_n: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    model, share = first_model(head, tail_n, end_n, states)
+def train(texts: DataFrame, head: list[tuple[bytes, int]], class_n: list[int], end_n: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    model, share = first_model(head, class_n, end_n, states)
     symbols = cut(symbol_table(texts, model), as_table=True)
     for _ in range(rounds):
         start, move, emit, _ = train_round(texts, model, symbols)
         emit = emit + share[:, None]
-        model = Model(model.index, ((start + 1) / (start + 1).sum()).astype(np.float32), ((move + 1) / (move + 1).sum(1, keepdims=True)).astype(np.float32), (emit / emit.sum(0)).astype(np.float32))
+        model = Model(model.index, ((start + 1) / (start + 1).sum()).astype(np.float32), ((move + 1) / (move + 1).sum(1, keepdims=True)).astype(np.float32), (emit / emit.sum(0)).astype(np.float32), model.classes)
     return model
 
 
@@ -232,24 +256,52 @@ def _least_count(counts: DataFrame, n_words: int) -> int:
     return least
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_words: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
-    texts = id_and_text(docs, id_col, text_col)
+@dataclass
+class Fitted:
+    """A trained model and what scores need beside it. counts: (word, n) of all training words."""
+
+    model: Model
+    counts: DataFrame
+    head_n: np.ndarray  # counts of head words
+    class_norm: np.ndarray  # log10 of a class' words, one place for all unseen ones among them, each smoothed
+    train_tokens: int
+    types: int
+    end_n: int
+
+
+def fit(texts: DataFrame, states: int = STATES, rounds: int = ROUNDS, growth: float = GROWTH) -> Fitted:
+    """The model of the training texts among texts (doc_id, text)."""
     training = texts.filter(~held_out())
     counts = cut(word_counts(training))
     n_words, n_types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end_n = training.count()
-    train_tokens, types = n_words + end_n, n_types + (end_n > 0)
-    often = counts.filter(F.col("n") >= _least_count(counts, head_words))
-    head = [(bytes(r["word"]), r["n"]) for r in often.orderBy(F.desc("n"), "word").limit(head_words).collect()]
-    model = train(training, head, n_words - sum(n for _, n in head), end_n, states, rounds)
-    norm = np.log10(train_tokens + SMOOTH * (types + 1))
-    # The tail has its words and one place for all unseen ones, each smoothed as in the base.
-    tail_norm = np.log10(n_words - sum(n for _, n in head) + SMOOTH * (n_types - len(head) + 1))
-    head_log = np.log10(np.array([n for _, n in head] + [1.0, end_n]) + SMOOTH)
+    size = max(1, int(np.ceil(growth * np.sqrt(n_types))))
+    often = counts.filter(F.col("n") >= _least_count(counts, size))
+    head = [(bytes(r["word"]), r["n"]) for r in often.orderBy(F.desc("n"), "word").limit(size).collect()]
+    class_n, class_types = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for at, n, types in counts.groupBy((F.crc32("word") % size).alias("class")).agg(F.sum("n"), F.count("*")).collect():  # a row for each class
+        class_n[at], class_types[at] = n, types
+    for word, n in head:
+        class_n[crc32(word) % size] -= n
+        class_types[crc32(word) % size] -= 1
+    model = train(training, head, class_n.tolist(), end_n, states, rounds)
+    return Fitted(model, counts, np.array([n for _, n in head], np.float64), np.log10(class_n + SMOOTH * (class_types + 1)), n_words + end_n, n_types + (end_n > 0), end_n)
+
+
+def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, growth: float = GROWTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs."""
+    texts = id_and_text(docs, id_col, text_col)
+    return score_with(fit(texts, states, rounds, growth), texts)
+
+
+def score_with(fitted: Fitted, texts: DataFrame) -> DataFrame:
+    model, end_n, class_norm, train_tokens = fitted.model, fitted.end_n, fitted.class_norm, fitted.train_tokens
+    norm = np.log10(train_tokens + SMOOTH * (fitted.types + 1))
+    # By symbol; a class has no count of its own, its words' follow by join.
+    head_log = np.log10(np.concatenate([fitted.head_n, np.full(model.classes, 1 - SMOOTH), [end_n]]) + SMOOTH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each text, and one for each of its tail words. A text's row has a word that no text can hold: a blank and its id."""
+        """One row for each text, and one for each of its rare words. A text's row has a word that no text can hold: a blank and its id, or its text's key."""
         names = ["doc_id", "text_key", "word", "m", "n_tokens", "n_known", "base_score", "score"]
         types_ = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for batch in batches:
@@ -260,7 +312,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_word
                 for text in group:
                     own, at = words(text), len(symbols)
                     symbols.append(sym := model.symbols(own))
-                    rare = np.flatnonzero(sym[:-1] == model.tail).tolist()
+                    rare = np.flatnonzero(sym[:-1] >= model.head).tolist()
                     if rare:
                         found = Counter([own[i] for i in rare])
                         n = len(found)
@@ -270,25 +322,26 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, head_word
                 if n:
                     none = [pa.array(np.zeros(n, kind)) for kind in (np.int64, np.int64, np.float64, np.float64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=False)] + none, names=names)
-            head_only = [sym[sym != model.tail] for sym in symbols]
-            marks = [b" %d" % doc if doc is not None else b" " for doc in ids]
-            base = [head_log[known].sum() - norm * len(sym) for known, sym in zip(head_only, symbols, strict=True)]
-            cols = [ids, keys, marks, [1] * len(ids), [len(sym) for sym in symbols], [len(known) - (end_n == 0) for known in head_only], base, forward_log10(model, symbols)]
+            classes = [sym[:-1][sym[:-1] >= model.head] - model.head for sym in symbols]
+            marks = [b" %d" % doc if doc is not None else b" n%d" % key for doc, key in zip(ids, keys, strict=True)]
+            base = [head_log[sym].sum() - norm * len(sym) for sym in symbols]
+            whole = [f - class_norm[c].sum() for f, c in zip(forward_log10(model, symbols).tolist(), classes, strict=True)]
+            cols = [ids, keys, marks, [1] * len(ids), [len(sym) for sym in symbols], [len(sym) - len(c) - (end_n == 0) for sym, c in zip(symbols, classes, strict=True)], base, whole]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types_, strict=True)], names=names)
 
     keyed = texts.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     parts = keyed.mapInArrow(run, "doc_id long, text_key long, word binary, m long, n_tokens long, n_known long, base_score double, score double")
     # A word is one row of counts, so that a partition of them is small: no side need be sorted.
-    joined = parts.join(counts.hint("shuffle_hash"), "word", "left")
+    joined = parts.join(fitted.counts.hint("shuffle_hash"), "word", "left")
     c = F.coalesce("n", F.lit(0))
     is_text = F.col("n_tokens") > 0
-    tail_log = F.when(is_text, 0.0).otherwise(F.col("m") * F.log10(c + SMOOTH))
+    rare_log = F.when(is_text, 0.0).otherwise(F.col("m") * F.log10(c + SMOOTH))
     summed = joined.groupBy("doc_id", "text_key").agg(
         F.sum(is_text.cast("long")).alias("copies"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.when(is_text, F.col("n_known")).otherwise(F.when(c > 0, F.col("m")).otherwise(0))).alias("n_known"),
-        F.sum(F.col("base_score") + tail_log).alias("base_score"),
-        F.sum(F.col("score") + tail_log - F.when(is_text, 0.0).otherwise(F.col("m") * F.lit(float(tail_norm)))).alias("score"),
+        F.sum(F.col("base_score") + rare_log).alias("base_score"),
+        F.sum(F.col("score") + rare_log).alias("score"),
     )
     # Rows that repeat id and text were summed together.
     each = summed.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn"))
