@@ -5,7 +5,8 @@ length l is cut into DISTANCE + 1 segments, a line that near keeps one of them
 whole, at a place that its length bounds. So each line is indexed by its
 segments, and probes, for its own and each shorter length in reach, the few
 substrings that can hold such a segment; keys that only probes have go at
-once. What meets is verified with a banded bit-parallel edit distance. Short
+once. What meets and has nearly the same symbols, by parities of their numbers,
+is verified with a banded bit-parallel edit distance. Short
 lines are joined like any other: of a line under DISTANCE + 1 characters some
 segments are empty, and an empty one meets wherever its place is in the line.
 
@@ -15,8 +16,8 @@ each line's links and a spanning forest are handed on, never its pairs. A link
 counts in the first of its keys alone.
 
 Defined results: a null text is the empty text, with one empty line; copies in
-repeated rows count; the least id of a line ignores nulls; an empty table gives
-no rows.
+repeated rows count; the least id of a line ignores nulls; lines of any length
+join; other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,37 +36,37 @@ from .common import cut, id_and_text, runs
 from .components import components
 
 DISTANCE = 2
-#: The least length of a line that is joined by edits: none is too short.
-SHORT = 0
-BLOCK = 64
+BLOCK = 256
 
 
 def distance_within(a: str, b: str, most: int) -> int | None:
-    """The edit distance if it is `most` or less: a band of 2 * most + 1 diagonals, its columns as bits of one number."""
+    """The edit distance if it is `most` or less: a band of 2 * most + 1 diagonals, its columns as bits of one number.
+
+    Of each symbol the places in the band are kept as bits, shifted when they are next looked at.
+    """
     if abs(len(a) - len(b)) > most:
         return None
-    start = 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
+    start, end_a, end_b = 0, len(a), len(b)
+    while start < min(end_a, end_b) and a[start] == b[start]:
         start += 1
-    while len(a) > start and len(b) > start and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    a, b = a[start:], b[start:]
+    while end_a > start and end_b > start and a[end_a - 1] == b[end_b - 1]:
+        end_a, end_b = end_a - 1, end_b - 1
+    a, b = a[start:end_a], b[start:end_b]
     if not a or not b:
         n = max(len(a), len(b))
         return n if n <= most else None
-    width = 2 * most + 1
-    full = (1 << width) - 1
+    full, top = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    places: dict[str, tuple[int, int]] = {}  # symbol: bit i for place `at` + i - most in b, and that `at`
+    for i, symbol in enumerate(b[:most]):
+        places[symbol] = places.get(symbol, (0, 0))[0] | 1 << (most + i), 0
     # reach[d]: the diagonals (bit i: place in b = place in a + i - most) that d edits reach at this place of a.
-    reach = [0] * (most + 1)
-    for d in range(most + 1):
-        reach[d] = sum(1 << (most + i) for i in range(0, d + 1) if i <= most)
+    reach = [sum(1 << (most + i) for i in range(d + 1)) & full for d in range(most + 1)]
     for place, symbol in enumerate(a):
-        same = 0
-        for i in range(width):
-            at = place + i - most
-            if 0 <= at < len(b) and b[at] == symbol:
-                same |= 1 << i
-        new, before = [], 0
+        if place + most < len(b):
+            bits, at = places.get(b[place + most], (0, place))
+            places[b[place + most]] = bits >> (place - at) | top, place
+        bits, at = places.get(symbol, (0, place))
+        same, new, before = bits >> (place - at), [], 0
         for d in range(most + 1):
             own = reach[d] & same  # equal
             if d:
@@ -82,6 +83,15 @@ def distance_within(a: str, b: str, most: int) -> int | None:
     return next((d for d in range(most + 1) if reach[d] >> last & 1), None)
 
 
+def parities(lines: list[str]) -> list[int]:
+    """64 bits for each line: how many of its symbols fall on each, modulo 2. An edit changes at most two."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    bits = np.uint64(1) << (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+    upto = np.r_[np.uint64(0), np.bitwise_xor.accumulate(bits)] if len(bits) else np.zeros(1, np.uint64)
+    ends = np.cumsum([0, *map(len, lines)])
+    return (upto[ends[1:]] ^ upto[ends[:-1]]).tolist()
+
+
 def _window(i: int, shorter: int, distance: int) -> range:
     """Shifts against segment i's start at which a line longer by `shorter` can hold it."""
     return range(max(-i, shorter - (distance - i)), min(i, shorter + distance - i) + 1)
@@ -193,8 +203,18 @@ def _links(distance: int):
     """For rows sorted by bucket, x, y: links of each group as (a, b, n), with b null and n the number of a's links, or n 0."""
     codes = _codes(distance)
 
+    def near(rows: list[tuple], indexed: list[tuple]) -> Iterator[tuple[tuple, tuple]]:
+        """Pairs whose parities differ in few enough bits."""
+        most = 2 * distance
+        if len(rows) * len(indexed) <= 256:
+            yield from ((a, b) for a in rows for b in indexed if (a[4] ^ b[4]).bit_count() <= most)
+        else:
+            one, other = (np.array([r[4] for r in own], np.uint64) for own in (rows, indexed))
+            for i, j in zip(*np.nonzero(np.bitwise_count(one[:, None] ^ other) <= most), strict=True):
+                yield rows[i], indexed[j]
+
     def group(x: int, y: int, rows: list[tuple]) -> Iterator[tuple]:
-        indexed = [(name, line, own) for name, line, own, code in rows if code <= distance]
+        indexed = [row for row in rows if row[3] <= distance]
         counts: dict[str, int] = {}
         root: dict[str, str] = {}
 
@@ -203,22 +223,21 @@ def _links(distance: int):
                 n = root[n]
             return n
 
-        for a, line, own_a, code in rows:
+        for (a, line, own_a, code, _), (b, other, own_b, _, _) in near(rows, indexed):
             i, shorter, shift = codes[code]
-            for b, other, own_b in indexed:
-                if a == b or len(line) - len(other) != shorter or (not shorter and a < b) or (min(own_a, own_b), max(own_a, own_b)) != (x, y):
-                    continue
-                if first_key(line, other, distance) == (i, shift) and distance_within(line, other, distance) is not None:
-                    counts[a], counts[b] = counts.get(a, 0) + 1, counts.get(b, 0) + 1
-                    p, q = find(a), find(b)
-                    if p != q:
-                        root[p] = q
-                        yield a, b, 0
+            if a == b or len(line) - len(other) != shorter or (not shorter and a < b) or (min(own_a, own_b), max(own_a, own_b)) != (x, y):
+                continue
+            if first_key(line, other, distance) == (i, shift) and distance_within(line, other, distance) is not None:
+                counts[a], counts[b] = counts.get(a, 0) + 1, counts.get(b, 0) + 1
+                p, q = find(a), find(b)
+                if p != q:
+                    root[p] = q
+                    yield a, b, 0
         for a, n in counts.items():
             yield a, None, n
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = chain.from_iterable(zip(*(p[name].tolist() for name in p.columns), strict=True) for p in parts)
+        rows = chain.from_iterable(zip(*(p[name].tolist() for name in p.columns), parities(p["line"].tolist()), strict=True) for p in parts)
         out = []
         for (_, x, y), own in groupby(rows, key=lambda r: r[:3]):
             out += group(x, y, [r[3:] for r in own])

@@ -35,7 +35,7 @@ def expected(rows):
             copies[line] += 1
             least.setdefault(line, set()).add(i)
     own = list(copies)
-    links = [(a, b) for a, b in combinations([x for x in own if len(x) >= lines.SHORT], 2) if abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2]
+    links = [(a, b) for a, b in combinations(own, 2) if abs(len(a) - len(b)) <= 2 and edit(a, b) <= 2]
     names = {x: hashlib.md5(x.encode()).hexdigest() for x in own}
     n = Counter(x for pair in links for x in pair)
     found = roots(names.values(), [(names[a], names[b]) for a, b in links])
