@@ -17,7 +17,7 @@ from .operators.replay import order_of, replay, split_key_changes
 from .plans import connect, progress
 from .sources import binary, wal2json
 from .sources.frames import FRAMES
-from .streaming import metrics, pipeline
+from .streaming import metrics, pipeline, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,16 +128,18 @@ def assemble_streamed_subabort(spark, sf_dir):
     return assemble.drop_aborted(log, aborts(log, True)).select("commit_lsn", "ordinal", "subxid", "op", "pk")
 
 
-@registered(LOG_SQL + " SELECT commit_lsn, count(*) AS change_count, sum(length(props)) AS byte_size, max(event_id) AS last_event FROM live GROUP BY commit_lsn")
+@registered(LOG_SQL + " SELECT commit_lsn, count(*) AS change_count, sum(length(props)) AS byte_size, greatest(0, 5000 - max(event_id)) AS lag_ms FROM live GROUP BY commit_lsn")
 def transaction_metrics(spark, sf_dir):
     log = change_log(spark, sf_dir)
     live = assemble.drop_aborted(log, aborts(log, False))
-    return live.groupBy("commit_lsn").agg(F.count("*").alias("change_count"), F.sum(F.length("props")).alias("byte_size"), F.max("event_id").alias("last_event"))
+    own = live.withColumn("ts_us", F.col("event_id") * 1000)
+    now = F.timestamp_micros(F.lit(946_684_800_000_000 + 5_000_000))
+    return metrics.per_transaction(own, F.length("props"), now)
 
 
-@registered(LOG_SQL + " SELECT xid, subxid, count(*) AS n FROM log GROUP BY xid, subxid")
+@registered(LOG_SQL + " SELECT xid, subxid, count(*) AS n_changes FROM log GROUP BY xid, subxid")
 def subtransaction_counts(spark, sf_dir):
-    return change_log(spark, sf_dir).groupBy("xid", "subxid").agg(F.count("*").alias("n"))
+    return metrics.per_part(change_log(spark, sf_dir))
 
 
 _ITEMS = ", items AS (SELECT xid, event_id * 2 AS seq, 'change' AS kind FROM log UNION ALL SELECT conv_id, conv_id * 16 + turn * 2 + 1, 'message' FROM conversations), numbered AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY seq) - 1 AS ordinal FROM items)"
@@ -154,9 +156,9 @@ def ordinals_shared(spark, sf_dir):
     return assemble.ordinals(_items(spark, sf_dir)).select("xid", "seq", "kind", "ordinal")
 
 
-@registered(LOG_SQL + ", kept AS (SELECT * FROM log WHERE op <> 'update') SELECT xid, count(*) AS n FROM kept GROUP BY xid")
+@registered(LOG_SQL + ", kept AS (SELECT * FROM log WHERE op <> 'update') SELECT commit_lsn, count(*) AS n_changes, 0 AS n_messages FROM kept GROUP BY commit_lsn")
 def empty_txn_suppressed(spark, sf_dir):
-    return change_log(spark, sf_dir).filter("op <> 'update'").groupBy("xid").agg(F.count("*").alias("n"))
+    return assemble.transactions(change_log(spark, sf_dir).filter("op <> 'update'"))
 
 
 @registered(LOG_SQL + ", m AS (SELECT (conv_id + 1) * 4096 AS commit_lsn, 0 AS c, 1 AS m FROM conversations), i AS (SELECT commit_lsn, 1 AS c, 0 AS m FROM log WHERE op = 'insert' UNION ALL SELECT * FROM m) SELECT commit_lsn, sum(c) AS n_changes, sum(m) AS n_messages FROM i GROUP BY commit_lsn HAVING sum(c) = 0")
@@ -183,10 +185,10 @@ def redelivery_idempotent(spark, sf_dir):
     return mirror(live.unionByName(live.filter("commit_lsn > 2000000")))
 
 
-@registered(LOG_SQL + " SELECT commit_lsn, ordinal, op, 'public' AS schema_name, 'events' AS table_name FROM live")
+@registered(LOG_SQL + " SELECT commit_lsn, op, ordinal, xid FROM live")
 def receipts_ledger(spark, sf_dir):
     log = change_log(spark, sf_dir)
-    return assemble.drop_aborted(log, aborts(log, False)).select("commit_lsn", "ordinal", "op", F.lit("public").alias("schema_name"), F.lit("events").alias("table_name"))
+    return sinks.receipts(assemble.drop_aborted(log, aborts(log, False)))
 
 
 @registered(LOG_SQL + " SELECT op, count(*) AS n, max(commit_lsn) AS last_lsn FROM live WHERE commit_lsn > 40960 GROUP BY op")
@@ -585,14 +587,8 @@ def batch_by_count(spark, sf_dir):
     return pipeline.batch_by_count(_commits(spark, sf_dir), 100).select("commit_lsn", F.col("batch").cast("long").alias("batch"))
 
 
-@registered(LOG_SQL + ", c AS (SELECT DISTINCT commit_lsn FROM live WHERE commit_lsn <= 400000), heads AS (WITH RECURSIVE h(lsn, batch) AS (SELECT min(commit_lsn), 0 FROM c UNION ALL SELECT (SELECT min(commit_lsn) FROM c WHERE commit_lsn >= h.lsn + 65536), h.batch + 1 FROM h WHERE EXISTS (SELECT 1 FROM c WHERE commit_lsn >= h.lsn + 65536)) SELECT * FROM h) SELECT c.commit_lsn, max(batch)::BIGINT AS batch FROM c JOIN heads ON heads.lsn <= c.commit_lsn GROUP BY c.commit_lsn")
-def batch_by_span(spark, sf_dir):
-    return pipeline.batch_by_span(_commits(spark, sf_dir).filter("commit_lsn <= 400000"), 65_536)
-
-
 @registered(LOG_SQL + ", c AS (SELECT DISTINCT commit_lsn FROM live), heads AS (WITH RECURSIVE h(lsn, batch) AS (SELECT min(commit_lsn), 0 FROM c UNION ALL SELECT (SELECT min(commit_lsn) FROM c WHERE commit_lsn >= h.lsn + 65536), h.batch + 1 FROM h WHERE EXISTS (SELECT 1 FROM c WHERE commit_lsn >= h.lsn + 65536)) SELECT * FROM h) SELECT c.commit_lsn, h.batch::BIGINT AS batch FROM c ASOF JOIN heads h ON c.commit_lsn >= h.lsn")
-def batch_by_span_all(spark, sf_dir):
-    """All commits; batch_by_span keeps to the first 400,000 positions, as its SQL does."""
+def batch_by_span(spark, sf_dir):
     return pipeline.batch_by_span(_commits(spark, sf_dir), 65_536)
 
 
@@ -666,18 +662,11 @@ def metrics_allowlist(spark, sf_dir):
     return own.select("event", metrics.allowed(F.col("event")).alias("allowed"))
 
 
-@registered("WITH f AS (SELECT event_id AS seq, 1 + event_id % 3 AS top, event_id % 10 AS slot FROM events WHERE event_id < 300), o AS (SELECT seq, CASE WHEN slot IN (0, 1, 2) THEN 1 WHEN slot IN (7, 8) THEN -1 ELSE 0 END AS d FROM f) SELECT seq, CAST(sum(d) OVER (ORDER BY seq) AS BIGINT) AS open_streams, sum(d) OVER (ORDER BY seq) > 20 AS too_many FROM o")
-def too_many_streams(spark, sf_dir):
-    own = table(spark, sf_dir, "events").filter("event_id < 300").selectExpr("event_id as seq", "event_id div 10 as ten", "event_id % 10 as slot")
-    frames = own.selectExpr("seq", "case when slot < 3 then 'start' when slot in (7, 8) then 'commit' else 'row' end as kind", "case when slot < 3 then ten * 3 + slot when slot in (7, 8) then ten * 2 + slot - 7 end as xid", "cast(null as bigint) as subxid")
-    return pipeline.open_streams(frames, 20)
-
-
 @registered(
     "WITH f AS (SELECT event_id AS seq, event_id // 10 AS ten, event_id % 10 AS slot FROM events), o AS (SELECT seq, CASE WHEN slot < 3 THEN 1 WHEN slot IN (5, 7, 8) AND ten >= 20 THEN -1 ELSE 0 END AS d FROM f) "
     "SELECT seq, CAST(sum(d) OVER w AS BIGINT) AS open_streams, sum(d) OVER w > 61 AS too_many FROM o WINDOW w AS (ORDER BY seq)"
 )
-def too_many_streams_all(spark, sf_dir):
+def too_many_streams(spark, sf_dir):
     """All events as frames of streams that end 20 tens later, some by an abort; a second start and the abort of a part change nothing."""
     own = table(spark, sf_dir, "events").selectExpr("event_id as seq", "event_id div 10 as ten", "event_id % 10 as slot")
     kind = "case when slot < 4 then 'start' when slot in (4, 5) then 'abort' when slot in (7, 8) then 'commit' else 'row' end as kind"

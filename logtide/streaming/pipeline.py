@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+#: Bytes of the log whose commits are one window.
+LSN_STRETCH = 1 << 28
+
+
 class Pipeline:
     """Runs batches of changes through a sink. A fault of the sink stops the stream for good, with the class of the error alone."""
 
@@ -35,8 +39,12 @@ class Pipeline:
 
 
 def batch_by_count(commits: DataFrame, n: int) -> DataFrame:
-    """commits with the number of its batch, n transactions each."""
-    return commits.withColumn("batch", F.floor((F.row_number().over(W.orderBy("commit_lsn")) - 1) / n))
+    """commits with the number of its batch, n transactions each. Ranks are counted inside stretches and shifted by the commits before."""
+    dealt = commits.withColumn("_stretch", F.floor(F.col("commit_lsn") / LSN_STRETCH))
+    sizes = dealt.groupBy("_stretch").agg(F.count("*").alias("_n"))
+    before = sizes.select("_stretch", (F.sum("_n").over(W.orderBy("_stretch")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_stretch").orderBy("commit_lsn")) - 1
+    return dealt.withColumn("_rank", rank).join(before, "_stretch").withColumn("batch", F.floor((F.col("_before") + F.col("_rank")) / n)).drop("_stretch", "_rank", "_before")
 
 
 def batch_by_span(commits: DataFrame, span: int) -> DataFrame:
@@ -61,11 +69,21 @@ def batch_by_span(commits: DataFrame, span: int) -> DataFrame:
 
 
 def inflight(frames: DataFrame, limit: int) -> DataFrame:
-    """For each frame what was received and not yet stored, and whether it is over the limit. frames: seq, wal_end, checkpoint."""
-    upto = W.orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    floor = F.first("wal_end").over(W.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    lag = F.max("wal_end").over(upto) - F.greatest(F.coalesce(F.max("checkpoint").over(upto), floor), floor)
-    return frames.withColumn("lag", lag).withColumn("sink_too_slow", F.col("lag") > limit)
+    """For each frame what was received and not yet stored, and whether it is over the limit. frames: seq, wal_end, checkpoint, and spilled if some of it lies on disk.
+
+    Running maxima go over stretches of positions and are carried on.
+    """
+    dealt = frames.withColumn("_stretch", F.floor(F.col("seq") / POSITIONS))
+    tops = dealt.groupBy("_stretch").agg(F.max("wal_end").alias("_wal"), F.max("checkpoint").alias("_cp"), F.min_by("wal_end", "seq").alias("_floor"))
+    earlier = W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    first = F.first("_floor").over(W.orderBy("_stretch").rowsBetween(W.unboundedPreceding, 0))
+    carried = tops.select("_stretch", F.max("_wal").over(earlier).alias("_wal"), F.max("_cp").over(earlier).alias("_cp"), first.alias("_floor"))
+    upto = W.partitionBy("_stretch").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    marked = dealt.withColumn("_own_wal", F.max("wal_end").over(upto)).withColumn("_own_cp", F.max("checkpoint").over(upto)).join(carried, "_stretch")
+    spilled = F.coalesce("spilled", F.lit(0)) if "spilled" in frames.columns else F.lit(0)
+    lag = F.greatest("_own_wal", "_wal") - F.greatest("_own_cp", "_cp", "_floor") - spilled
+    out = marked.withColumn("lag", lag).withColumn("sink_too_slow", F.col("lag") > limit)
+    return out.drop("_stretch", "_own_wal", "_own_cp", "_wal", "_cp", "_floor")
 
 
 #: Positions whose running sum is one window.

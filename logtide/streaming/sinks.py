@@ -226,7 +226,7 @@ class AppendLog(Sink):
 
     def messages(self) -> DataFrame | None:
         there = "messages" in self.manifest.names(self.folder)
-        return self._spark.read.parquet(f"{self.folder}/messages").dropDuplicates(["lsn"]) if there else None
+        return once(self._spark.read.parquet(f"{self.folder}/messages")) if there else None
 
 
 class Ledger(AppendLog):
@@ -248,3 +248,8 @@ class Ledger(AppendLog):
 def receipts(changes: DataFrame) -> DataFrame:
     """What a ledger keeps of changes: their place and kind, no value."""
     return changes.select("commit_lsn", "op", *(c for c in ("ordinal", "xid", "namespace", "name") if c in changes.columns))
+
+
+def once(messages: DataFrame) -> DataFrame:
+    """Standalone messages come at least once; their position tells them apart."""
+    return messages.dropDuplicates(["lsn"])

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from logtide import catalogue, framed  # noqa: F401  framed registers its queries
+from logtide import catalogue, framed, system  # noqa: F401  framed and system register their queries
 
 from .harness import compare, connection
 

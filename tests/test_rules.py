@@ -141,7 +141,7 @@ def test_progress():
 
 def test_metrics_let_no_value_through():
     metrics.valid("sink.committed", {"change_count": 3}, {"table": "orders"})
-    for args in (("row.value", {}, {}), ("sink.committed", {"x": 1}, {}), ("sink.committed", {"change_count": "canary"}, {}), ("sink.failed", {}, {"reason": "canary value"}), ("sink.failed", {}, {"shape": b"canary"})):
+    for args in (("row.value", {}, {}), ("sink.committed", {"x": 1}, {}), ("sink.committed", {"change_count": "canary"}, {}), ("sink.failed", {}, {"reason": "canary value"}), ("sink.failed", {}, {"reason": b"canary"}), ("sink.failed", {"duration": -1}, {})):
         with pytest.raises(ValueError, match="^metric_refused$") as caught:
             metrics.valid(*args)
         assert "canary" not in str(caught.value)

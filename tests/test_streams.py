@@ -19,7 +19,7 @@ def test_all_commits_are_batched_by_span(spark):
             base, batch = at, batch + 1
         want[at] = batch
     assert commits[-1] > 400_000
-    assert {r["commit_lsn"]: r["batch"] for r in catalogue.QUERIES["batch_by_span_all"](spark, SF_DIR).collect()} == want
+    assert {r["commit_lsn"]: r["batch"] for r in catalogue.QUERIES["batch_by_span"](spark, SF_DIR).collect()} == want
 
 
 def test_open_streams_against_brute_force(spark, monkeypatch):
@@ -45,4 +45,4 @@ def test_open_streams_against_brute_force(spark, monkeypatch):
 
 def test_all_events_go_through_the_guard(spark):
     n = spark.read.parquet(f"{SF_DIR}/events.parquet").count()
-    assert n > 300 and catalogue.QUERIES["too_many_streams_all"](spark, SF_DIR).count() == n
+    assert n > 300 and catalogue.QUERIES["too_many_streams"](spark, SF_DIR).count() == n
