@@ -77,3 +77,10 @@ def only(make: Callable, *args):
         gc.collect()
         _one[make, args] = make(*args)
     return _one[make, args]
+
+
+def release() -> None:
+    """Lets go of what this worker remembers for an operator before."""
+    if _one:
+        _one.clear()
+        gc.collect()

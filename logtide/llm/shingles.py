@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, id_and_text, release
 from .components import components
 from .simhash import majority, near_links, shingle_hashes
 
@@ -79,6 +79,7 @@ def _nodes(texts: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "slot", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         slots = np.zeros(SLOTS, np.int64)
         for batch in _few(batches):
             rows = []
@@ -119,6 +120,7 @@ def _keyed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity:
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in _few(batches):
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
             for text in batch.column(1).to_pylist():
@@ -195,6 +197,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
     held = cut(texts.join(wanted, same).select("node", "text").dropDuplicates(["node"]), as_table=True)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in _few(batches):
             keep, sets = [], {}
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
