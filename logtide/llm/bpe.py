@@ -12,13 +12,16 @@ and remembered.
 Decoding is streamed: ids go through a UTF-8 state machine that hands out whole
 characters and holds back an unfinished one.
 
-Defined results: a null text is the empty text, with no ids; an empty table
-gives no rows; repeated rows give repeated results.
+Defined results: a null text is the empty text, with no ids; a null id stays
+null; a long text is split where no piece crosses; repeated rows give repeated
+results; other columns, whatever their names, don't matter; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
@@ -138,34 +141,87 @@ class MergeTransducer:
         raise ValueError("a byte is no token of the vocabulary")
 
 
+#: The UTF-8 machine: for each state the bytes (first, last) that lead on and the state they lead to. Fixed values, as in the Unicode standard's table of well-formed sequences.
+STEPS = {
+    "start": [(0x00, 0x7F, "start"), (0xC2, 0xDF, "one more"), (0xE0, 0xE0, "after E0"), (0xE1, 0xEC, "two more"), (0xED, 0xED, "after ED"), (0xEE, 0xEF, "two more"), (0xF0, 0xF0, "after F0"), (0xF1, 0xF3, "three more"), (0xF4, 0xF4, "after F4")],
+    "one more": [(0x80, 0xBF, "start")],
+    "two more": [(0x80, 0xBF, "one more")],
+    "three more": [(0x80, 0xBF, "two more")],
+    "after E0": [(0xA0, 0xBF, "one more")],
+    "after ED": [(0x80, 0x9F, "one more")],
+    "after F0": [(0x90, 0xBF, "two more")],
+    "after F4": [(0x80, 0x8F, "two more")],
+}
+START, REFUSED = 0, -1
+
+
+def _machine() -> list[list[int]]:
+    """For each state, by number, the next one for each byte."""
+    number = {name: i for i, name in enumerate(STEPS)}
+    table = []
+    for ranges in STEPS.values():
+        own = [REFUSED] * 256
+        for first, last, name in ranges:
+            own[first : last + 1] = [number[name]] * (last + 1 - first)
+        table.append(own)
+    return table
+
+
 class Utf8Stream:
     """Incremental UTF-8 state machine over token bytes.
 
-    feed() returns the characters completed so far; an unfinished character is
-    held back. Bytes that can't begin or go on a character give U+FFFD, as
-    the standard replacement does.
+    feed() returns the characters completed so far; of an unfinished one the
+    state and the bits read are held. A byte that can't go on a character ends
+    it as U+FFFD and is read again from the start; one that can't begin a
+    character is U+FFFD. ASCII leads from the start to the start, so that its
+    stretches pass at once.
     """
 
-    #: Bytes that a lead byte announces, by its upper five bits.
-    LEAD = (1,) * 16 + (0,) * 8 + (2,) * 4 + (3,) * 2 + (4, 0)
+    NEXT = _machine()
+    OTHERS = re.compile(rb"[\x80-\xff]+")
 
     def __init__(self) -> None:
-        self._held = b""
+        self._state = START
+        self._bits = 0
 
     def feed(self, data: bytes) -> str:
-        data = self._held + data
-        end = len(data)
-        for back in range(1, min(3, end) + 1):
-            need = self.LEAD[data[-back] >> 3]
-            if need:
-                end -= back if need > back else 0
-                break
-        self._held = data[end:]
-        return data[:end].decode("utf-8", "replace")
+        out, at = [], 0
+        for stretch in self.OTHERS.finditer(data):
+            if stretch.start() > at:
+                out += self._broken(), data[at : stretch.start()].decode("ascii")
+            self._walk(stretch[0], out)
+            at = stretch.end()
+        if at < len(data):
+            out += self._broken(), data[at:].decode("ascii")
+        return "".join(out)
 
     def close(self) -> str:
-        held, self._held = self._held, b""
-        return held.decode("utf-8", "replace")
+        return self._broken()
+
+    def _broken(self) -> str:
+        """What is left of an unfinished character, which ends here."""
+        held, self._state = self._state != START, START
+        return "\ufffd" if held else ""
+
+    def _walk(self, data: bytes, out: list[str]) -> None:
+        state, bits, table = self._state, self._bits, self.NEXT
+        for byte in data:
+            after = table[state][byte]
+            if after == REFUSED and state != START:
+                out.append("\ufffd")
+                state = START
+                after = table[state][byte]
+            if after == REFUSED:
+                out.append("\ufffd")
+            elif state == START:  # a lead byte: its bits below the zero that ends its length
+                bits = byte & (0x1F if byte < 0xE0 else 0x0F if byte < 0xF0 else 0x07)
+                state = after
+            else:
+                bits = bits << 6 | byte & 0x3F
+                state = after
+                if state == START:
+                    out.append(chr(bits))
+        self._state, self._bits = state, bits
 
 
 class Codec:

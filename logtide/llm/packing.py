@@ -7,7 +7,9 @@ few thousand entries however many documents there are. Pieces then take the
 planned slots by their rank within their length.
 
 Defined results: a null text is the empty text, which is the closing id alone;
-repeated rows are packed each; an empty table gives no rows.
+a null id stays null on its pieces; a text of any length is cut into as many
+pieces as it needs; repeated rows are packed each; other columns, whatever their
+names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ written and read as one array. Blocks are 4:2:0; the payload's length is in a
 comment segment.
 
 Defined results: a null text is the empty text, whose payload is 576 bytes of
-255; equal texts give equal values; an empty table gives no rows.
+255; a null id stays null; a text of any length is one picture, decoded some
+macroblock rows at a time; equal texts give equal values; other columns, whatever
+their names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ of known lengths, UUIDs and identifiers are excluded; that the letters of an
 identifier are words is decided by the same ratio.
 
 A span is the whole match, in code points, end exclusive. Defined results: a
-null text is the empty text and has no spans; repeated rows give repeated
-results; an empty table gives no rows.
+null text is the empty text and has no spans; a null id stays null; texts of any
+length are scanned whole; repeated rows give repeated results; other columns,
+whatever their names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,8 +14,9 @@ forest of its links is handed on, never its pairs.
 
 Defined results: a null text is the empty text; no words give fingerprint zero,
 linked like any other; a null id joins its fingerprint's component, whose id is
-its least non-null one; repeated rows give repeated results; an empty table
-gives no rows.
+its least non-null one; texts of any length count whole; repeated rows give repeated
+results; other columns, whatever their names, don't matter; an empty table gives
+no rows.
 """
 
 from __future__ import annotations

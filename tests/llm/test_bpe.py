@@ -47,6 +47,13 @@ def test_stream_holds_back_unfinished_characters():
     assert stream.feed(b"x\xff\xe6\xbc") + stream.close() == "x��"
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.binary(max_size=6) | st.sampled_from([b"\xe0\xa0", b"\xe0\x9f", b"\xed\xa0\x80", b"\xf0\x90", b"\xf4\x90", b"\xc0\xaf", "漢é🎉".encode()]), max_size=12))
+def test_machine_replaces_as_the_standard_does(parts):
+    stream = bpe.Utf8Stream()
+    assert "".join(map(stream.feed, parts)) + stream.close() == b"".join(parts).decode("utf-8", "replace")
+
+
 def test_round_trip(odd, odd_rows, empty):
     want = []
     for doc, text in odd_rows:
