@@ -16,7 +16,10 @@ sets:
 
 Before texts are fetched, pairs are pruned by sizes, places and parity sketches.
 A sketch counts, modulo 2, the shingles that fall on each of its bits, so that
-two differ in no more bits than their sets do in shingles.
+two differ in no more bits than their sets do in shingles. A short sketch of a
+long text is half ones, and tells nothing; so each longer set has a second one
+with a bit or two a shingle, a power of two of them, of which the halves are laid
+on one another to compare it with a shorter one.
 
 Defined results: words are those of simhash; a null text is the empty text,
 equal to any other without words; rows may repeat ids; the least id of a
@@ -60,6 +63,27 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).tobytes()
 
 
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """As sketch(), with at least as many bits as hashes; empty where sketch() is as long."""
+    bits = 1 << max(0, len(hashes) - 1).bit_length()
+    return np.packbits(np.bincount((hashes >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1).tobytes() if bits > SKETCH else b""
+
+
+def _laid(data: bytes, size: int) -> np.ndarray:
+    """A long sketch made as short as one of `size` bytes."""
+    own = np.frombuffer(data, np.uint8)
+    while len(own) > size:
+        own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+    return own
+
+
+def long_may_be_near(a: bytes, b: bytes, sizes: int, similarity: Fraction) -> bool:
+    """may_be_near() for two long sketches; true if either set has none."""
+    p, q = similarity.numerator, similarity.denominator
+    size = min(len(a), len(b))
+    return not size or int(np.bitwise_count(_laid(a, size) ^ _laid(b, size)).sum(dtype=np.int64)) * (p + q) <= sizes * (q - p)
+
+
 def may_be_near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: Fraction) -> np.ndarray:
     """Whether sketches (rows of 64-bit numbers) differ in no more bits than sets of that similarity, of `sizes` shingles together, can."""
     p, q = similarity.numerator, similarity.denominator
@@ -75,8 +99,8 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _nodes(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, text_key, node, size, fp, sketch) and, with node null, (slot, n): how many texts' shingles fall in a slot."""
-    names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "slot", "n"]
+    """(doc_id, text_key, node, size, fp, sketch, long_sketch) and, with node null, (slot, n): how many texts' shingles fall in a slot."""
+    names = ["doc_id", "text_key", "node", "size", "fp", "sketch", "long_sketch", "slot", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -86,16 +110,17 @@ def _nodes(texts: DataFrame, width: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 every = shingle_hashes(text, width, SEED)
                 own = np.unique(every)
-                rows.append((node_of(own), len(own), np.uint64(majority(every)).astype(np.int64), sketch(own)))
+                rows.append((node_of(own), len(own), np.uint64(majority(every)).astype(np.int64), sketch(own), long_sketch(own)))
                 np.add.at(slots, (own % np.uint64(SLOTS)).astype(np.int64), 1)
             cols = list(zip(*rows, strict=True))
+            held = [pa.array(c, pa.binary()) for c in cols[3:]]
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols[:3]), *held, none, none], names=names)
         at = np.flatnonzero(slots)
-        none = [pa.nulls(len(at), pa.binary() if name == "sketch" else pa.int64()) for name in names[:6]]
+        none = [pa.nulls(len(at), pa.binary() if "sketch" in name else pa.int64()) for name in names[:7]]
         yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(slots[at])], names=names)
 
-    return texts.mapInArrow(run, "doc_id long, text_key long, node long, size long, fp long, sketch binary, slot long, n long")
+    return texts.mapInArrow(run, "doc_id long, text_key long, node long, size long, fp long, sketch binary, long_sketch binary, slot long, n long")
 
 
 def _common(marked: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -183,10 +208,13 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, similarity: Fraction) -> DataFra
         for batch in batches:
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             near = may_be_near(_sketches(batch.column(4).to_pylist()), _sketches(batch.column(5).to_pylist()), sizes, similarity) if batch.num_rows else np.zeros(0, bool)
-            yield batch.filter(pa.array(near)).select(["a", "b"])
+            batch, sizes = batch.filter(pa.array(near)), sizes[near]
+            near = [long_may_be_near(a, b, n, similarity) for a, b, n in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), sizes.tolist(), strict=True)]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-    of = lambda name: nodes.select(F.col("node").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_size", "b_size", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+    names = ("size", "sketch", "long_sketch")
+    of = lambda side: nodes.select(F.col("node").alias(side), *(F.col(name).alias(f"{side}_{name}") for name in names))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *(f"{side}_{name}" for name in names for side in "ab")).mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: Fraction, width: int) -> DataFrame:
@@ -229,8 +257,8 @@ def near_groups(docs: DataFrame, similarity: Fraction = SIMILARITY, width: int =
     texts = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
     marked = cut(_nodes(texts, width), as_table=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
-    nodes = marked.filter("node is not null").groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("size", "fp", "sketch")))
-    nodes = cut(nodes.select("node", F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("least_key"), "size", "fp", "sketch"), as_table=True)
+    nodes = marked.filter("node is not null").groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("size", "fp", "sketch", "long_sketch")))
+    nodes = cut(nodes.select("node", F.col("first.doc_id").alias("least_id"), F.col("first.text_key").alias("least_key"), "size", "fp", "sketch", "long_sketch"), as_table=True)
     checked = lambda pairs: cut(_verified(cut(_pruned(pairs, nodes, similarity)), nodes, texts, similarity, width))
 
     links = checked(_alike(nodes))
@@ -258,7 +286,7 @@ def near_groups(docs: DataFrame, similarity: Fraction = SIMILARITY, width: int =
     dealt = held.select("*", other).select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "root", "n", "place", "own", "sketch")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     rest = cut(dealt.mapInPandas(_pairs(similarity), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"))
-    found = components(links.unionByName(_verified(rest, nodes, texts, similarity, width)))
+    found = components(links.unionByName(checked(rest)))
     rooted = nodes.join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     component = rooted.join(lowest, "root").select("node", "component_id")

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+import numpy as np
 from logtide.llm import shingles
 
 from .conftest import make
@@ -24,6 +25,8 @@ def varied():
     star = [word() for _ in range(150)]
     for i in range(40):
         rows.append(" ".join([*star[: i % 7], word(), *star[i % 7 + 1 :]]))
+    long = [word() for _ in range(2500)]
+    rows += [" ".join([*long[:n], *(word() for _ in range(m))]) for n, m in ((2500, 0), (2400, 50), (2000, 100), (1200, 1300), (1250, 0))]
     rows += ["", " ", "One two THREE four five six", "one two three four five six"]
     rng.shuffle(rows)
     return list(enumerate(rows)) + [(5000, None)]
@@ -50,6 +53,19 @@ def test_stage_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in shingles.near_groups(make(spark, rows)).collect()} == want
 
 
+def test_long_sketches_never_refuse_a_near_pair():
+    rng = np.random.default_rng(4)
+    for n in (500, 1025, 2000, 2049, 9000, 70_000):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        for other in (n, n * 9 // 10, n * 6 // 10, n // 10):
+            for more in (0, n // 10, n):
+                a, b = np.unique(base), np.unique(np.r_[base[:other], rng.integers(0, 1 << 63, more, np.uint64)])
+                both = len(np.intersect1d(a, b))
+                may = shingles.long_may_be_near(shingles.long_sketch(a), shingles.long_sketch(b), len(a) + len(b), shingles.SIMILARITY)
+                assert may or both * 5 < 4 * (len(a) + len(b) - both)
+                assert not may or both * 2 >= len(a) + len(b) - both or min(len(a), len(b)) <= shingles.SKETCH
+
+
 def test_odd_rows(odd, empty):
     kept = shingles.keep_one(odd)
     assert kept.columns == odd.columns
