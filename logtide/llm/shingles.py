@@ -141,7 +141,7 @@ def _ordered(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def _keyed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: Fraction, width: int) -> DataFrame:
-    """(key, node, n, place): the prefix of each text; n is the size of its set."""
+    """(key, node, n, place): the prefix of each text; n is the size of its set. Rows of equal sets repeat."""
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def _keyed(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity:
                     col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in cols], names=["key", "node", "n", "place"])
 
-    return texts.mapInArrow(run, "key long, node long, n long, place long").distinct()
+    return texts.mapInArrow(run, "key long, node long, n long, place long")
 
 
 def _sketches(column) -> np.ndarray:
@@ -263,8 +263,8 @@ def near_groups(docs: DataFrame, similarity: Fraction = SIMILARITY, width: int =
 
     links = checked(_alike(nodes))
     keyed = cut(_keyed(texts, _common(marked), similarity, width), as_table=True)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
-    met = keyed.join(shared, "key").drop("held")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    met = cut(keyed.join(shared, "key").distinct(), as_table=True)
 
     def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
         """The rows of keys whose nodes have more than one root, with these."""
