@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +74,19 @@ def runs(texts: list[str], most: int) -> Iterator[list[str]]:
 _one: dict = {}
 
 
+def _let_go() -> None:
+    """Forgets the tables of this worker and gives their memory back to the machine: freed memory that allocators keep counts against the executor."""
+    _one.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def only(make: Callable, *args):
     """make(*args), remembered until this worker asks for something else: operators that share workers don't pile up their tables."""
     if (make, args) not in _one:
-        _one.clear()
-        gc.collect()
+        _let_go()
         _one[make, args] = make(*args)
     return _one[make, args]
 
@@ -84,5 +94,4 @@ def only(make: Callable, *args):
 def release() -> None:
     """Lets go of what this worker remembers for an operator before."""
     if _one:
-        _one.clear()
-        gc.collect()
+        _let_go()

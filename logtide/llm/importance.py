@@ -92,10 +92,10 @@ def fit(texts: DataFrame, good: frozenset[int], buckets: int = BUCKETS) -> np.nd
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.bincount(features(text, buckets), minlength=buckets)
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):  # one text at a time leaves Arrow
+                own = np.bincount(features(text.as_py(), buckets), minlength=buckets)
                 raw += own
-                if doc in good:
+                if doc.as_py() in good:
                     target += own
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
@@ -121,9 +121,10 @@ def weigh(texts: DataFrame, ratios: np.ndarray, temperature: float, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(text, buckets) for text in batch.column(1).to_pylist()]
-            n = np.array([len(f) for f in found], np.int64)
-            weight = np.array([ratios[f].sum() for f in found], np.float64)
+            n, weight = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for i, text in enumerate(batch.column(1)):  # the features of one text at a time are held
+                found = features(text.as_py(), buckets)
+                n[i], weight[i] = len(found), ratios[found].sum()
             noise = temperature * gumbel(np.array([i or 0 for i in batch.column(0).to_pylist()], np.int64), seed)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(weight), pa.array(noise)], names=["doc_id", "text_key", "n_features", "log_weight", "noise"])
 
