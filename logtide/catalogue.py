@@ -321,7 +321,8 @@ def array_parse_text(spark, sf_dir):
 
 @registered("SELECT vec_id, CAST(round(embedding[1] * 10000) AS BIGINT) AS a, CAST(round(embedding[2] * 10000) AS BIGINT) AS b, CAST(round(embedding[3] * 10000) AS BIGINT) AS c FROM embeddings")
 def array_parse_2d(spark, sf_dir):
-    whole = lambda i: F.round(F.col("embedding")[i].cast("double") * 10000).cast("long").cast("string")
+    # The product is a float, as it is in SQL: ties of its rounding differ from those of a double.
+    whole = lambda i: F.round(F.col("embedding")[i] * F.lit(10000).cast("float")).cast("long").cast("string")
     literal = F.concat(F.lit("{{"), whole(0), F.lit(","), whole(1), F.lit("},{"), whole(2), F.lit(",NULL}}"))
     parsed = arrays.nested_array(literal, "bigint", 2)
     return table(spark, sf_dir, "embeddings").select("vec_id", *(F.get(F.get(parsed, F.lit(i)), F.lit(j)).alias(n) for i, j, n in ((0, 0, "a"), (0, 1, "b"), (1, 0, "c"))))
