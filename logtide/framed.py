@@ -4,33 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalogue import registered, table
 from .operators import transactions
+from .operators.held import as_table
 from .operators.replay import order_of, replay, split_key_changes
 from .sources import binary
 from .sources.frames import FRAMES
 
 #: Positions of one transaction's frames, and bytes of log a position stands for.
 SPAN, BYTES = 32, 128
+_MARKS = {"insert": b"I", "update": b"U", "delete": b"D"}
 _COLUMNS = [("pk", 20, True), ("cents", 20, False), ("props", 25, False)]
 
 
-def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Eight events are a transaction. Every fifth is streamed: four rows, others' frames, four rows, an aborted part, its end."""
     for part in parts:
         out: list[tuple[int, str, bytes | None]] = []
-        for event, op, pk, cents, props in part[["event_id", "op", "pk", "cents", "props"]].itertuples(index=False):
+        for event, op, pk, cents, props in zip(*(part.column(c).to_pylist() for c in ("event_id", "op", "pk", "cents", "props")), strict=True):
             xid, n = divmod(event, 8)
             streamed, base, late = xid % 5 == 0, xid * SPAN, (xid + 2) * SPAN
             at = (base + 2 + n if n < 4 else late + 21 + n) if streamed else base + 2 + n
             own = xid * 10 + n // 3 if streamed else None
             new = [str(pk + 100_000 if op == "update" and event % 97 == 0 else pk), cents, binary.UNCHANGED if op == "update" and event % 3 == 0 else props]
             old = [str(pk), None, None] if op == "delete" or (op == "update" and event % 97 == 0) else None
-            out.append((at, "w", binary.encode_row({"insert": b"I", "update": b"U", "delete": b"D"}[op], 1, None if op == "delete" else new, old, subxid=own)))
+            out.append((at, "w", binary.encode_row(_MARKS[op], 1, None if op == "delete" else new, old, subxid=own)))
             if n:
                 continue
             if streamed:
@@ -45,8 +47,9 @@ def _encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((base + 1, "w", binary.encode_truncate([1, 2])))
             elif xid % 13 == 0:
                 out.append((base + 1, "w", binary.encode_message(base * BYTES, "note", b"x%d" % xid, subxid=xid * 10 if streamed else None)))
-        frame = pd.DataFrame(out, columns=["seq", "kind", "payload"])
-        yield frame.assign(wal_end=frame["seq"] * BYTES, in_stream=False)[["seq", "wal_end", "kind", "payload", "in_stream"]]
+        seqs, kinds, payloads = zip(*out, strict=True) if out else ((), (), ())
+        columns = {"seq": pa.array(seqs, pa.int64()), "wal_end": pa.array([seq * BYTES for seq in seqs], pa.int64()), "kind": pa.array(kinds, pa.string()), "payload": pa.array(payloads, pa.binary())}
+        yield pa.RecordBatch.from_pydict(columns | {"in_stream": pa.array([False] * len(out), pa.bool_())})
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,11 +59,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", op.alias("op"), F.col("user_id").alias("pk"), cents.alias("cents"), "props")
     announced = [(-2, binary.encode_relation(1, "public", "events", _COLUMNS)), (-1, binary.encode_relation(2, "public", "others", _COLUMNS[:1]))]
     first = spark.createDataFrame([(seq, 0, "w", bytearray(data), False) for seq, data in announced], FRAMES)
-    return first.unionByName(rows.mapInPandas(_encode, FRAMES))
+    # Events are few bytes of Parquet: by splits of files, few tasks would encode them all.
+    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    return first.unionByName(dealt.mapInArrow(_encode, FRAMES))
 
 
 def assembled(spark: SparkSession, sf_dir: str) -> transactions.Assembled:
-    return transactions.assemble(binary.decode(transactions.in_segments(frames(spark, sf_dir)), "pgoutput"))
+    """Frames are made once and decoded once."""
+    return transactions.assemble(binary.decode(transactions.in_segments(frames(spark, sf_dir), as_table), "pgoutput"), hold=as_table)
 
 
 _LOG = """WITH ev AS (SELECT event_id, event_id // 8 AS xid, event_id % 8 AS n, user_id AS id, props,

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .held import Hold, as_it_is
+
 
 def drop_aborted(changes: DataFrame, aborts: DataFrame) -> DataFrame:
     """Without what aborted: (xid, subxid) of a sub-transaction; both equal for a whole transaction."""
@@ -42,18 +44,22 @@ def nested(changes: DataFrame, fields: list[str]) -> DataFrame:
 STRETCH = 1 << 16
 
 
-def carry_last(frames: DataFrame, value: str, out: str, bucket: int = STRETCH, before: bool = False) -> DataFrame:
+def carry_last(frames: DataFrame, value: str, out: str, bucket: int = STRETCH, before: bool = False, hold: Hold = as_it_is, running: Column | None = None) -> DataFrame:
     """The last non-null `value` at or before each seq (before it, if `before`), without a one-task window.
 
     Windows run inside buckets of seq; the last value of each bucket is carried
-    over the bucket rows, which are few, and joined back.
+    over the bucket rows, which are few, and joined back. hold: what keeps the
+    rows between these two steps, so that frames are made once. running: summed
+    up to each seq of a bucket as `_run`, which then stays, as `_bucket` does.
     """
-    dealt = frames.withColumn("_bucket", F.floor(F.col("seq") / bucket))
-    inside = F.last(value, ignorenulls=True).over(W.partitionBy("_bucket").orderBy("seq").rowsBetween(W.unboundedPreceding, -1 if before else 0))
+    inside = W.partitionBy("_bucket").orderBy("seq")
+    dealt = frames.withColumn("_bucket", F.floor(F.col("seq") / bucket)).withColumn("_inside", F.last(value, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1 if before else 0)))
+    dealt = hold(dealt if running is None else dealt.withColumn("_run", F.sum(running).over(inside.rowsBetween(W.unboundedPreceding, 0))))
     lasts = dealt.groupBy("_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("seq"))).alias("_last"))
     earlier = F.last("_last", ignorenulls=True).over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    carried = lasts.select("_bucket", earlier.alias("_carried"))
-    return dealt.withColumn("_inside", inside).join(carried, "_bucket").withColumn(out, F.coalesce("_inside", "_carried")).drop("_bucket", "_inside", "_carried")
+    carried = hold(lasts.select("_bucket", earlier.alias("_carried")))
+    joined = dealt.join(carried if hold is as_it_is else F.broadcast(carried), "_bucket").withColumn(out, F.coalesce("_inside", "_carried"))
+    return joined.drop("_inside", "_carried", *["_bucket"] * (running is None))
 
 
 def relation_in_force(frames: DataFrame, relations: DataFrame, broadcast_versions: int = 0) -> DataFrame:

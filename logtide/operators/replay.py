@@ -16,8 +16,10 @@ def order_of(commit_lsn: str = "commit_lsn", ordinal: str = "ordinal") -> Column
 def split_key_changes(changes: DataFrame, key: str, old_key: str, place: str = "_place") -> DataFrame:
     """An update whose old key differs becomes a delete of the old key right before it."""
     moved = F.col(old_key).isNotNull() & (F.col(old_key) != F.col(key)) & (F.col("op") == "update")
-    gone = changes.filter(moved).withColumn(key, F.col(old_key)).withColumn("op", F.lit("delete")).withColumn(place, F.col(place).withField("half", F.lit(0)))
-    return changes.unionByName(gone)
+    halves = changes.withColumn("_gone", F.explode(F.when(moved, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    gone = lambda then, c: F.when(F.col("_gone"), then).otherwise(F.col(c)).alias(c)
+    own = {key: gone(F.col(old_key), key), "op": gone(F.lit("delete"), "op"), place: gone(F.col(place).withField("half", F.lit(0)), place)}
+    return halves.select(*(own.get(c, F.col(c)) for c in changes.columns))
 
 
 def replay(changes: DataFrame, keys: Sequence[str], values: Sequence[str], unchanged: str | None = None, place: str = "_place", truncated: DataFrame | None = None, gone: str | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import records
-from .assemble import STRETCH, carry_last, relation_in_force
+from .assemble import carry_last, relation_in_force
+from .held import Hold, as_it_is
 
 CHANGES = ("insert", "update", "delete", "truncate")
 #: Versions of relations up to which they are sent to all tasks.
@@ -41,11 +42,11 @@ class Assembled:
     open_from: DataFrame
 
 
-def in_segments(frames: DataFrame) -> DataFrame:
+def in_segments(frames: DataFrame, hold: Hold = as_it_is) -> DataFrame:
     """frames with in_stream read off the frames themselves: a segment starts at S and ends at E."""
     mark = F.when(F.col("kind") == "w", F.substring("payload", 1, 1).cast("string"))
     marked = frames.drop("in_stream").withColumn("_mark", F.when(mark == "S", True).when(mark == "E", False))
-    return carry_last(marked, "_mark", "_in").withColumn("in_stream", F.coalesce("_in", F.lit(False)) & F.col("_mark").isNull()).drop("_mark", "_in")
+    return carry_last(marked, "_mark", "_in", hold=hold).withColumn("in_stream", F.coalesce("_in", F.lit(False)) & F.col("_mark").isNull()).drop("_mark", "_in")
 
 
 def _owner() -> Column:
@@ -70,19 +71,37 @@ def _versions(messages: DataFrame) -> DataFrame:
     return messages.filter("kind = 'relation'").select("seq", "relid", "namespace", "name", "replica_identity", "columns")
 
 
-def _numbered(items: DataFrame) -> DataFrame:
-    """items with ordinal: what came before in the same transaction, each item counting `weight`. No window holds a whole transaction."""
-    dealt = items.withColumn("_stretch", F.floor(F.col("seq") / STRETCH))
-    sums = dealt.groupBy("txn", "_stretch").agg(F.sum("weight").alias("_sum"))
-    before = F.sum("_sum").over(W.partitionBy("txn").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1))
-    carried = sums.select("txn", "_stretch", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("weight").over(W.partitionBy("txn", "_stretch").orderBy("seq")) - F.col("weight")
-    return dealt.withColumn("_inside", inside).join(carried, ["txn", "_stretch"]).withColumn("ordinal", (F.col("_before") + F.col("_inside")).cast("long")).drop("_stretch", "_inside", "_before", "_sum")
+def _numbered(items: DataFrame, spans: DataFrame) -> DataFrame:
+    """items with what spans tells of their segments, and ordinal: what came before in the same transaction, each item counting `weight`.
 
+    _run is the sum of weights up to an item in its stretch of positions. As a
+    segment is not interrupted, the items of one segment and stretch need one
+    number beside it, and meet by both: no window holds rows of a transaction.
+    """
+    first = F.col("_run") - F.col("weight")
+    sums = items.groupBy("from_seq", "_bucket").agg(F.sum("weight").alias("_sum"), F.min(first).alias("_first")).join(spans, "from_seq")
+    before = F.sum("_sum").over(W.partitionBy("txn").orderBy("from_seq", "_bucket").rowsBetween(W.unboundedPreceding, -1))
+    carried = sums.withColumn("_before", F.coalesce(before, F.lit(0)) - F.col("_first")).drop("_sum", "_first")
+    return items.join(carried, ["from_seq", "_bucket"]).withColumn("ordinal", (F.col("_before") + first).cast("long")).drop("_bucket", "_run", "_before")
+
+
+def _by_relation(rows: DataFrame) -> DataFrame:
+    """A row for each relation that a change is of, truncates being of several; without what only announcements have."""
+    one = F.array(F.struct(F.col("relid").alias("relid"), F.lit(0).cast("long").alias("at")))
+    each = F.when(F.col("kind") == "truncate", F.transform("truncated", lambda r, i: F.struct(r.alias("relid"), i.cast("long").alias("at")))).otherwise(one)
+    return rows.withColumn("_rel", F.explode(each)).drop("relid", "namespace", "name", "columns", "replica_identity").withColumn("relid", F.col("_rel.relid"))
+
+
+def assemble(messages: DataFrame, halting: DataFrame | None = None, hold: Hold = as_it_is) -> Assembled:
+    """messages: decoded frames, as sources.frames.MESSAGES has them. halting: more halts (seq, reason), as of destructive schema changes.
 
-def assemble(messages: DataFrame, halting: DataFrame | None = None) -> Assembled:
-    """messages: decoded frames, as sources.frames.MESSAGES has them. halting: more halts (seq, reason), as of destructive schema changes."""
-    owned = carry_last(messages.withColumn("_owner", _owner()), "_owner", "_open", before=True)
+    hold: what keeps messages with their owners, which all parts of the plan read.
+    """
+    is_message = (F.col("kind") == "message") & F.col("transactional")
+    weight = F.when(F.col("kind") == "truncate", F.size("truncated")).otherwise(1)
+    is_item = F.col("kind").isin(*CHANGES) | is_message
+    owned = carry_last(messages.withColumn("_owner", _owner()), "_owner", "_open", before=True, hold=hold, running=F.when(is_item, weight).otherwise(0))
+    messages = owned.drop("_owner", "_open", "_bucket", "_run")
     boundaries = owned.filter(F.col("kind").isin("begin", "commit", "stream_start", "stream_stop", "stream_commit", "stream_abort"))
 
     # Transactions and what ends them
@@ -94,27 +113,28 @@ def assemble(messages: DataFrame, halting: DataFrame | None = None) -> Assembled
     spans = plain.unionByName(segments)
 
     # Rows and transactional messages by transaction, numbered before anything is dropped
-    is_message = (F.col("kind") == "message") & F.col("transactional")
-    weight = F.when(F.col("kind") == "truncate", F.size("truncated")).otherwise(1)
-    each = owned.filter(F.col("kind").isin(*CHANGES) | is_message).withColumn("weight", weight).withColumn("from_seq", F.col("_open.seq")).drop("xid", "ts_us", "_owner", "_open")
-    items = _numbered(each.filter("from_seq is not null").join(spans, "from_seq"))
+    each = owned.filter(is_item).withColumn("weight", weight).withColumn("from_seq", F.col("_open.seq")).drop("xid", "ts_us", "_owner", "_open")
+    each = each.filter("from_seq is not null")
+    items = _numbered(each, spans)
 
     # Sub-transactions that were aborted, with their messages
     part = boundaries.filter("kind = 'stream_abort' and xid <> subxid")
-    part = part.select("seq", "xid", "subxid").join(streams.filter("kind = 'stream_start'").select("xid", F.col("seq").alias("_from"), "first_seq", F.coalesce("end_seq", F.lit((1 << 63) - 1)).alias("_until")), "xid").filter("seq > _from and seq < _until")
+    of_xid = streams.filter("kind = 'stream_start'").select("xid", "first_seq", F.coalesce("end_seq", F.lit((1 << 63) - 1)).alias("_until")).distinct()
+    part = part.select("seq", "xid", "subxid").join(of_xid, "xid").filter("seq > first_seq and seq < _until")
     gone = part.select(F.col("first_seq").alias("txn"), "subxid").distinct()
 
     # Relations in force
-    rows = items.filter(F.col("kind").isin(*CHANGES))
-    rows = rows.withColumn("_rel", F.explode(F.when(F.col("kind") == "truncate", F.transform("truncated", lambda r, i: F.struct(r.alias("relid"), i.cast("long").alias("at")))).otherwise(F.array(F.struct(F.col("relid").alias("relid"), F.lit(0).cast("long").alias("at"))))))
-    rows = rows.withColumn("ordinal", F.col("ordinal") + F.col("_rel.at")).drop("relid", "namespace", "name", "columns", "replica_identity").withColumn("relid", F.col("_rel.relid")).drop("_rel")
-    known = relation_in_force(rows, _versions(messages), BROADCAST_VERSIONS)
+    versions = _versions(messages)
+    rows = _by_relation(items.filter(F.col("kind").isin(*CHANGES)))
+    rows = rows.withColumn("ordinal", F.col("ordinal") + F.col("_rel.at")).drop("_rel")
+    known = relation_in_force(rows, versions, BROADCAST_VERSIONS)
 
     # Faults, each at the frame that shows it
     unowned = owned.filter(F.col("_open.seq").isNull() & (F.col("kind").isin(*CHANGES, "commit") | is_message)).select("seq", F.lit("config_invalid").alias("reason"))
     unknown = streams.filter("kind <> 'stream_start' and first_seq is null").select("seq", F.lit("config_invalid").alias("reason"))
     stray = boundaries.filter("kind = 'stream_abort' and xid <> subxid").select("seq").join(part.select("seq").distinct(), "seq", "left_anti").select("seq", F.lit("config_invalid").alias("reason"))
-    unnamed = known.filter(F.col("columns").isNull()).select("seq", F.lit("config_invalid").alias("reason"))
+    named = relation_in_force(_by_relation(each.filter(F.col("kind").isin(*CHANGES))).select("seq", "relid"), versions, BROADCAST_VERSIONS)
+    unnamed = named.filter(F.col("columns").isNull()).select("seq", F.lit("config_invalid").alias("reason"))
     errors = messages.filter("kind = 'ERROR'").select("seq", F.coalesce("reason", F.lit("decode_failure")).alias("reason"))
     halts = errors.unionByName(unowned).unionByName(unknown).unionByName(stray).unionByName(unnamed)
     halts = halts if halting is None else halts.unionByName(halting)

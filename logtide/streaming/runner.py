@@ -98,6 +98,12 @@ class Replication:
             frames = frames.unionByName(tail).dropDuplicates(["seq"])
         frames = frames.persist()
         messages = self._messages(frames).persist()
+        kept = [frames, messages]
+
+        def hold(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return kept[-1]
+
         try:
             times = lambda of: F.count(F.when(F.expr(of), 1))
             starts, aborted, announced, told = messages.agg(times("kind = 'stream_start'"), times("kind = 'stream_abort' and xid = subxid"), times("kind = 'relation'"), times("kind = 'message' and not transactional")).first()
@@ -107,7 +113,7 @@ class Replication:
                     guard_streams(messages.select("seq", turn.alias("kind"), "xid", "subxid"), self.config.max_concurrent_txns)
                 except RuntimeError:
                     self._halt("too_many_streams")
-            assembled = transactions.assemble(messages, self._drift(messages, announced > 1))
+            assembled = transactions.assemble(messages, self._drift(messages, announced > 1), hold)
             self._apply(assembled, sink, aborted, told)
             reason = assembled.halts.agg(F.min_by("reason", "seq")).first()[0]
             if reason is not None:
@@ -119,8 +125,8 @@ class Replication:
                 path = None
             self.state.write(self.state.read() | {"tail": path})
         finally:
-            messages.unpersist()
-            frames.unpersist()
+            for df in reversed(kept):
+                df.unpersist()
 
     def _apply(self, assembled: transactions.Assembled, sink: Any, aborted: int, told: int) -> None:
         before = sink.checkpoint()
