@@ -6,13 +6,13 @@ import itertools
 import struct
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arrays, lsn, pgtypes
 from .functions.identifiers import valid_identifier
-from .operators import assemble, publication, records, schema_change, snapshot
+from .operators import assemble, publication, records, schema_change, snapshot, transactions
 from .operators.replay import order_of, replay, split_key_changes
 from .plans import connect, progress
 from .sources import binary, wal2json
@@ -343,26 +343,32 @@ _ORDERS = [("o_orderkey", 20, True), ("o_orderstatus", 25, False), ("o_totalpric
 _ORDERS_SQL = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 
 
-def _frames(spark: SparkSession, sf_dir: str, second: bool) -> DataFrame:
-    """Inserts of all orders; the relation is announced in frame 0 and begins in frame 1."""
+def _frames(spark: SparkSession, sf_dir: str, second: bool) -> tuple[DataFrame, DataFrame]:
+    """The frames before all rows, relation and begin, and the inserts of all orders."""
     head = [binary.encode_relation(7, "public", "orders", _ORDERS, second=second), binary.encode_begin(4096, 0, 1, second)]
     first = spark.createDataFrame([(i - 2, i, "w", bytearray(p), False) for i, p in enumerate(head)], FRAMES)
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            payloads = [binary.encode_insert(7, list(row), second) for row in part[["a", "b", "c", "d"]].itertuples(index=False, name=None)]
-            yield pd.DataFrame({"seq": part["seq"], "wal_end": part["seq"], "kind": "w", "payload": payloads, "in_stream": False})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, binary.HELD_FRAMES):
+                part = batch.slice(at, binary.HELD_FRAMES)
+                seq, *values = part.columns
+                payloads = [binary.encode_insert(7, list(row), second) for row in zip(*(c.to_pylist() for c in values), strict=True)]
+                own = {"seq": seq, "wal_end": seq, "kind": pa.array(["w"] * len(seq)), "payload": pa.array(payloads, pa.binary()), "in_stream": pa.array([False] * len(seq))}
+                yield pa.RecordBatch.from_pydict(own)
 
     texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), *(F.col(c).cast("string").alias(n) for (c, _, _), n in zip(_ORDERS, "abcd", strict=True)))
-    return first.unionByName(texts.mapInPandas(encode, FRAMES))
+    # Orders are few bytes of Parquet: by splits of files, few tasks would encode and decode them all.
+    dealt = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
+    return first, dealt.mapInArrow(encode, FRAMES)
 
 
 def _records(spark: SparkSession, sf_dir: str, plugin: str) -> DataFrame:
-    messages = binary.decode(_frames(spark, sf_dir, plugin == "pglogical"), plugin)
-    # The relation decides how tuples read; it is announced once and small.
-    relation = binary.decode(_frames(spark, sf_dir, plugin == "pglogical").filter("seq < 0"), plugin).filter("kind = 'relation'").select("seq", "relid", "columns")
-    inserts = messages.filter("kind = 'insert'").select("seq", "relid", "new_tuple")
-    return assemble.relation_in_force(inserts, relation).select(records.record(F.col("columns"), F.col("new_tuple")).alias("record"))
+    head, inserts = (binary.decode(own, plugin) for own in _frames(spark, sf_dir, plugin == "pglogical"))
+    # The relation decides how tuples read; it is announced before all rows. As it goes to every task, its rows need not meet in one.
+    relation = head.filter("kind = 'relation'").select("seq", "relid", "columns")
+    rows = inserts.filter("kind = 'insert'").select("seq", "relid", "new_tuple")
+    return assemble.relation_in_force(rows, relation, transactions.BROADCAST_VERSIONS).select(records.record(F.col("columns"), F.col("new_tuple")).alias("record"))
 
 
 def _orders_of(rows: DataFrame) -> DataFrame:

@@ -47,3 +47,10 @@ def test_numbers_of_a_streamed_transaction_over_stretches(spark):
         each = lambda first, gap: [(first + i, "insert", 1) for i in (0, 1, 2) if not (gap and i == 1)] + [(first + 3, "truncate", 1), (first + 4, "truncate", 2), (first + 5, "insert", 1)]
         assert rows == [(900, *x) for s in range(3) for x in each(6 * s, False)] + [(950, *x) for s in range(3) for x in each(6 * s, True)]
         assert got.halts.count() == 0 and got.open_from.count() == 0
+
+
+@pytest.mark.parametrize("name", ["decode_pgoutput", "decode_pglogical", "decoder_parity"])
+def test_rows_of_a_relation_do_not_meet_in_one_task(spark, name):
+    """The one relation goes to the rows, which are dealt over the tasks; announcing it makes no frame of them."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
